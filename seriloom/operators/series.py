@@ -282,13 +282,32 @@ def context_tail(weekly: DataFrame, length: int) -> DataFrame:
     return weekly.withColumn("_last", last).filter(F.col("idx") > F.col("_last") - length).drop("_last")
 
 
-def undated_series(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """Positional series without dates; ``order`` gives the row position that files have implicitly."""
-    return rows.select(
+def undated_series(
+    rows: DataFrame, value: str, order: str, chunk: int = 100_000, series: str = "series_id"
+) -> DataFrame:
+    """Positional series without dates; numeric ``order`` gives the position files have implicitly.
+
+    Raw rows of one series can be any number, so positions are not taken from a window over the
+    whole series: rows are counted per stretch of ``chunk`` order values, the (few) stretches are
+    accumulated, and rows are numbered inside their stretch only.
+    """
+    cut = rows.select(
+        F.col(series).alias("series_id"),
+        F.col(order).alias("_o"),
+        F.floor(F.col(order) / chunk).alias("_chunk"),
+        F.col(value).cast("double").alias("value"),
+    )
+    sizes = cut.groupBy("series_id", "_chunk").agg(F.count("*").alias("_k"))
+    before = sizes.withColumn(
+        "_before",
+        F.sum("_k").over(Window.partitionBy("series_id").orderBy("_chunk")) - F.col("_k"),
+    ).drop("_k")
+    inside = F.row_number().over(Window.partitionBy("series_id", "_chunk").orderBy("_o")) - 1
+    return cut.withColumn("_pos", inside).join(before, ["series_id", "_chunk"]).select(
         "series_id",
         F.lit(None).cast("date").alias("week"),
-        (F.row_number().over(Window.partitionBy("series_id").orderBy(order)) - 1).alias("idx"),
-        F.col(value).cast("double").alias("value"),
+        (F.col("_before") + F.col("_pos")).alias("idx"),
+        "value",
     )
 
 

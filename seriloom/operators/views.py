@@ -338,16 +338,15 @@ def range_view(points: DataFrame, last_history: int | None = 52, first_forecast:
     newest = Window.partitionBy("series_id").orderBy(F.col("date").desc())
     oldest = Window.partitionBy("series_id").orderBy("date")
     is_hist, is_fc = F.col("historical").isNotNull(), F.col("forecast").isNotNull()
-    ranked = (
-        points.withColumn("_from_end", F.sum(is_hist.cast("int")).over(newest))
-        .withColumn("_from_start", F.sum(is_fc.cast("int")).over(oldest))
-        .withColumn("_last_fc", F.max(F.when(is_fc, F.col("date"))).over(Window.partitionBy("series_id")))
+    ranked = points.withColumn("_from_end", F.sum(is_hist.cast("int")).over(newest)).withColumn(
+        "_from_start", F.sum(is_fc.cast("int")).over(oldest)
     )
     keep_hist = is_hist if last_history is None else is_hist & (F.col("_from_end") <= last_history)
     keep_fc = is_fc if first_forecast is None else is_fc & (F.col("_from_start") <= first_forecast)
+    last_fc = F.max(F.when(is_fc, F.col("date"))).over(Window.partitionBy("series_id"))
+    shown = ranked.filter(keep_hist | keep_fc).withColumn("_last_fc", last_fc)
     bridge = is_hist & (F.col("_from_end") == 1) & F.col("forecast").isNull() & (F.col("_last_fc") > F.col("date"))
     return (
-        ranked.filter(keep_hist | keep_fc)
-        .withColumn("forecast", F.when(bridge, F.col("historical")).otherwise(F.col("forecast")))
+        shown.withColumn("forecast", F.when(bridge, F.col("historical")).otherwise(F.col("forecast")))
         .drop("_from_end", "_from_start", "_last_fc")
     )

@@ -38,30 +38,25 @@ def read_feed(spark: SparkSession, path: str, required: list[str] | None = None)
     )
 
 
-def split_malformed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def split_malformed(
+    spark: SparkSession, path: str, columns: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of a feed. A line is bad when it has more cells than the header.
 
-    Short lines are kept and padded with NULL, which is what a lenient CSV reader does; Spark
-    marks them corrupt too, so the decision is taken on the cell count of the corrupt line.
+    Short lines are kept and padded with NULL, which is what a lenient CSV reader does, so a
+    corrupt-record flag alone would not do: lines are read as text, cells are counted outside
+    quotes, and the good ones are parsed. Pass ``columns`` for files without a header line.
     """
-    columns = _header(spark, path)
-    marked = (
-        spark.read.schema(_text_schema([*columns, "_broken"]))
-        .option("header", True)
-        .option("comment", "#")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
-        .csv(path)
-    )
-    # quoted cells may hold commas: drop them before counting separators
-    bare = F.regexp_replace("_broken", r'"[^"]*"', "")
+    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
+    if columns is None:
+        columns = _header(spark, path)
+        lines = lines.filter(F.replace("value", F.lit('"'), F.lit("")) != ",".join(columns))
+    bare = F.regexp_replace("value", r'"[^"]*"', "")
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    is_bad = F.coalesce(cells > len(columns), F.lit(False))
-    marked = marked.withColumn("_bad", is_bad)
-    return (
-        marked.filter(~F.col("_bad")).select(*columns),
-        marked.filter("_bad").select(F.col("_broken").alias("line")),
-    )
+    too_long = cells > len(columns)
+    parsed = F.from_csv("value", _text_schema(columns).simpleString()[7:-1].replace(":", " "))
+    good = lines.filter(~too_long).select(parsed.alias("r")).select("r.*")
+    return good, lines.filter(too_long).select(F.col("value").alias("line"))
 
 
 def malformed_report(good: DataFrame, bad: DataFrame, limit: float = fv.MAX_MALFORMED_SHARE) -> DataFrame:

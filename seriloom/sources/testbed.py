@@ -46,7 +46,9 @@ def daily_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_by(spark, sf_dir, "nation").select(
         "series_id",
         F.col("o_orderdate").cast("date").alias("obs_date"),
-        F.when(F.col("o_orderstatus") == "F", amount).alias("ili"),
+        F.when(F.col("o_orderstatus") == "F", amount)
+        .when(F.col("o_orderstatus") == "P", F.lit(0.0))
+        .alias("ili"),
         F.when(F.col("o_orderstatus") != "F", F.round(amount / 16.0)).alias("ari"),
         F.col("o_orderkey").alias("row_key"),
     )
