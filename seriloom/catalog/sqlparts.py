@@ -60,9 +60,11 @@ ORDERS = {
     "nation": "SELECT n_name AS series_id, o.* FROM orders o JOIN customer ON o_custkey = c_custkey "
     "JOIN nation ON c_nationkey = n_nationkey",
     "segment": "SELECT c_mktsegment AS series_id, o.* FROM orders o JOIN customer ON o_custkey = c_custkey",
+    "nation_segment": "SELECT n_name || '/' || c_mktsegment AS series_id, o.* FROM orders o JOIN customer ON o_custkey = c_custkey "
+    "JOIN nation ON c_nationkey = n_nationkey",
     "customer": "SELECT 'C' || o_custkey AS series_id, o.* FROM orders o",
 }
-SUFFIX = {"nation": "", "segment": "_seg", "customer": "_cust"}
+SUFFIX = {"nation": "", "segment": "_seg", "nation_segment": "_ns", "customer": "_cust"}
 
 for _key, _src in ORDERS.items():
     _s = SUFFIX[_key]

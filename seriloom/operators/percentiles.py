@@ -22,12 +22,20 @@ def _bucket(value: Column) -> Column:
 def grouped_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """One row per key with exact linear-interpolation percentiles named by ``probs``."""
+    """One row per (non-null) key with exact linear-interpolation percentiles named by ``probs``.
+
+    The NULL filters are spelled out so that both uses of the counts have the same plan and share
+    one exchange.
+    """
+    present = F.col(value).isNotNull() & _bucket(F.col(value)).isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
     counts = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(present)
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_b", _bucket(F.col("_v")))
+        .filter("_b IS NOT NULL")
     )
     by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sizes = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
-from seriloom.functions.cells import count_where, median, share
+from seriloom.functions.cells import count_where, median, share, sorted_quantile
 from seriloom.operators.series import whole_series
 
 
@@ -47,9 +47,6 @@ def quality_screen(
     )
     out = stats.join(nan_pattern(weekly).select("series_id", F.col("pattern").alias("nan_pattern")), "series_id")
 
-    def text(c: Column, places: int) -> Column:
-        return F.format_string(f"%.{places}f", c)
-
     reasons = F.concat_ws(
         "; ",
         F.when(
@@ -58,15 +55,15 @@ def quality_screen(
         ),
         F.when(
             F.col("years_coverage") < min_years,
-            F.concat(F.lit("too_short("), text(F.col("years_coverage"), 1), F.lit(f"yr<{min_years})")),
+            F.concat(F.lit("too_short("), F.col("years_coverage").cast("string"), F.lit(f"yr<{min_years})")),
         ),
         F.when(
             (F.col("nan_pattern") == "sporadic") & (F.col("nan_pct") > max_missing),
-            F.concat(F.lit("high_nan_sporadic("), text(F.col("nan_pct"), 1), F.lit(f"%>{max_missing:g}%)")),
+            F.concat(F.lit("high_nan_sporadic("), F.col("nan_pct").cast("string"), F.lit(f"%>{max_missing:g}%)")),
         ),
         F.when(
             F.col("scale") < min_scale,
-            F.concat(F.lit("too_small_scale("), text(F.col("scale"), 2), F.lit(f"<{min_scale})")),
+            F.concat(F.lit("too_small_scale("), F.col("scale").cast("string"), F.lit(f"<{min_scale})")),
         ),
     )
     return out.withColumn("exclude_reason", reasons).withColumn("include", F.col("exclude_reason") == "")
@@ -154,8 +151,6 @@ def build_windows(
     positive_train = F.array_sort(
         F.filter(F.slice("a_value", F.lit(1), F.col("n") - held_out), lambda v: v > 0)
     )
-    from seriloom.functions.cells import sorted_quantile
-
     facts = arrays.withColumns(
         {
             "train_end": F.col("n") - held_out,

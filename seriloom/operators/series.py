@@ -66,6 +66,8 @@ def indicator_profile(
     ``keep_only`` is 'ili' or 'ari' where two indicators of very different scale must not be
     mixed, else NULL.
     """
+    # the same NULL filter in front of every use lets Spark share the exchange below ``obs``
+    obs = obs.filter("series_id IS NOT NULL")
     ili_pos, ari_pos = F.col("ili") > 0, F.col("ari") > 0
 
     def span(cond: Column) -> Column:
@@ -127,6 +129,7 @@ def combine_indicators(obs: DataFrame, profile: DataFrame | None = None, **guard
     A series with a single live indicator keeps all its rows. Where both are live, rows without
     a positive value go, and the guard may keep the larger-scale indicator only.
     """
+    obs = obs.filter("series_id IS NOT NULL")
     facts = (profile if profile is not None else indicator_profile(obs, **guard)).select(
         "series_id", "n_ili", "n_ari", "keep_only"
     )

@@ -23,9 +23,8 @@ def _orders_by(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     if key == "segment":
         return joined.withColumn("series_id", F.col("c_mktsegment"))
     nation = table(spark, sf_dir, "nation")
-    return joined.join(nation, joined.c_nationkey == nation.n_nationkey).withColumn(
-        "series_id", F.col("n_name")
-    )
+    name = F.concat_ws("/", "n_name", "c_mktsegment") if key == "nation_segment" else F.col("n_name")
+    return joined.join(nation, joined.c_nationkey == nation.n_nationkey).withColumn("series_id", name)
 
 
 def observations(spark: SparkSession, sf_dir: str, key: str = "nation") -> DataFrame:
