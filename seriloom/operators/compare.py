@@ -196,37 +196,50 @@ def horizon_rwis_models(scores: DataFrame, baseline: str, models: list[str] | No
     )
 
 
-def model_pairs(scores: DataFrame, min_common: int = fv.MIN_COMMON_KEYS) -> DataFrame:
-    """(m, other, ratio, n): mean-WIS ratio on the keys two models share.
+def model_pairs(
+    scores: DataFrame, min_common: int = fv.MIN_COMMON_KEYS, by: list[str] | None = None
+) -> DataFrame:
+    """(by..., m, other, ratio, n): mean-WIS ratio on the keys two models share.
 
     Scores are gathered per key first (a key holds one score per model) and pairs are opened in
     place and summed map-side, so the only thing shuffled after that is one row per pair and task.
     """
-    per_key = scores.groupBy("round", "h").agg(F.collect_list(F.struct("model", "wis")).alias("s"))
+    keys = by or []
+    per_key = scores.groupBy(*keys, "round", "h").agg(F.collect_list(F.struct("model", "wis")).alias("s"))
     pairs = (
-        per_key.select(F.explode("s").alias("a"), "s")
-        .select("a", F.explode("s").alias("b"))
+        per_key.select(*keys, F.explode("s").alias("a"), "s")
+        .select(*keys, "a", F.explode("s").alias("b"))
         .filter(F.col("a.model") != F.col("b.model"))
     )
     return (
-        pairs.groupBy(F.col("a.model").alias("m"), F.col("b.model").alias("other"))
+        pairs.groupBy(*keys, F.col("a.model").alias("m"), F.col("b.model").alias("other"))
         .agg(F.avg("a.wis").alias("mean_m"), F.avg("b.wis").alias("mean_other"), F.count("*").alias("n"))
         .filter((F.col("n") >= min_common) & (F.col("mean_other") > 0))
-        .select("m", "other", (F.col("mean_m") / F.col("mean_other")).alias("ratio"), "n")
+        .select(*keys, "m", "other", (F.col("mean_m") / F.col("mean_other")).alias("ratio"), "n")
     )
 
 
-def pairwise_rwis(scores: DataFrame, baseline: str, min_common: int = fv.MIN_COMMON_KEYS) -> DataFrame:
-    """Geometric mean of pair ratios per model, divided by the baseline's own."""
+def pairwise_rwis(
+    scores: DataFrame,
+    baseline: str,
+    min_common: int = fv.MIN_COMMON_KEYS,
+    by: list[str] | None = None,
+) -> DataFrame:
+    """Geometric mean of pair ratios per model, divided by the baseline's own (1 if it has none).
+
+    ``by`` repeats the comparison within groups such as seasons.
+    """
+    keys = by or []
     theta = (
-        model_pairs(scores, min_common)
-        .groupBy(F.col("m").alias("model"))
+        model_pairs(scores, min_common, keys)
+        .groupBy(*keys, F.col("m").alias("model"))
         .agg(F.exp(F.avg(F.ln("ratio"))).alias("theta"), F.count("*").alias("n_models"))
     )
     # one row per model: the baseline's value is spread by a window over this small table
-    base = F.max(F.when(F.col("model") == baseline, F.col("theta"))).over(Window.partitionBy(F.lit(0)))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    base = F.max(F.when(F.col("model") == baseline, F.col("theta"))).over(group)
     return theta.withColumn("_b", F.coalesce(base, F.lit(1.0))).select(
-        "model", "theta", (F.col("theta") / F.col("_b")).alias("pairwise_rwis"), "n_models"
+        *keys, "model", "theta", (F.col("theta") / F.col("_b")).alias("pairwise_rwis"), "n_models"
     )
 
 
