@@ -150,8 +150,9 @@ def hub_forecasts(spark, d):
 )
 def read_partitioned_rounds(spark, d):
     path = fresh_path(spark, "rounds")
-    # one file per (model, round): cluster the rows by their folder before writing
-    rows = hub_forecasts(spark, d).repartition("model", "round")
+    # one file per (model, round); a fixed task count, as many small files cost more than their rows
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows = hub_forecasts(spark, d).repartition(tasks, "model", "round")
     older = rows.filter("model = 'BUILDING'").drop("target")  # a model whose files lack the column
     rows.filter("model <> 'BUILDING'").write.partitionBy("model", "round").option("header", True).csv(path)
     older.write.mode("append").partitionBy("model", "round").option("header", True).csv(path)

@@ -101,16 +101,15 @@ def find_peaks(
 def phase_labels(weekly: DataFrame, peaks: DataFrame, reach: int = fv.PEAK_WINDOW) -> DataFrame:
     """weekly plus ``phase``: off_season, growth, peak_window or decay.
 
-    The nearest peaks come from two running windows, one per direction, so that no frame looks
-    ahead without bound.
+    The few peaks of a series travel as one array, joined on the series alone: both sides are
+    already partitioned by series, and the nearest peak before and after a row is row-local.
     """
-    marks = peaks.select("series_id", "idx", F.col("idx").alias("_peak"))
-    marked = weekly.join(marks, ["series_id", "idx"], "left")
-    back = Window.partitionBy("series_id").orderBy(F.col("idx").desc())
-    marked = marked.withColumn("_before", F.last("_peak", ignorenulls=True).over(by_week())).withColumn(
-        "_after", F.last("_peak", ignorenulls=True).over(back)
-    )
-    since, until = F.col("idx") - F.col("_before"), F.col("_after") - F.col("idx")
+    lists = peaks.groupBy("series_id").agg(F.collect_list("idx").alias("_peaks"))
+    marked = weekly.join(lists, "series_id", "left")
+    since = F.col("idx") - F.array_max(F.filter("_peaks", lambda p: p <= F.col("idx")))
+    until = F.array_min(F.filter("_peaks", lambda p: p >= F.col("idx"))) - F.col("idx")
+    marked = marked.withColumns({"_since": since, "_until": until})
+    since, until = F.col("_since"), F.col("_until")
     phase = (
         F.when(F.col("value").isNull() | (F.col("value") < F.col("threshold")), "off_season")
         .when((since <= reach) | (until <= reach), "peak_window")
@@ -118,7 +117,7 @@ def phase_labels(weekly: DataFrame, peaks: DataFrame, reach: int = fv.PEAK_WINDO
         .when(since.isNotNull(), "decay")
         .otherwise("growth")
     )
-    return marked.withColumn("phase", phase).drop("_peak", "_before", "_after")
+    return marked.withColumn("phase", phase).drop("_peaks", "_since", "_until")
 
 
 # --- scores -------------------------------------------------------------------------------
