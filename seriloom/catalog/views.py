@@ -7,6 +7,7 @@ from seriloom.catalog import tables as tt
 from seriloom.catalog.registry import query
 from seriloom.catalog.sqlparts import B, R, level_list, part, sql
 from seriloom.functions import fixed_values as fv
+from seriloom.functions.storage import cut_lineage
 from seriloom.operators import forecast as fc
 from seriloom.operators import series as se
 from seriloom.operators import views as vw
@@ -224,8 +225,7 @@ part(
     ),
 )
 def future_weeks_view(spark, d):
-    series = base_series(spark, d)
-    pts = points(spark, d, series)
+    series, pts = stored(spark, d)
     base = vw.type_aware_baseline(pts, vw.type_map(series), vw.type_info(series))
     return vw.future_weeks_view(pts, base, vw.staleness(series, tt.as_of()), tt.as_of())
 
@@ -256,9 +256,15 @@ part(
 )
 
 
+def stored(spark, d):
+    """Series and points written once, for queries that read them several times."""
+    series = cut_lineage(base_series(spark, d))
+    return series, cut_lineage(points(spark, d, series))
+
+
 def status(spark, d):
-    series = base_series(spark, d)
-    return vw.status_map(points(spark, d, series), series, vw.staleness(series, tt.as_of()), tt.as_of())
+    series, pts = stored(spark, d)
+    return vw.status_map(pts, series, vw.staleness(series, tt.as_of()), tt.as_of())
 
 
 @query("status_map", sql("SELECT * FROM status", "status"))
@@ -285,8 +291,8 @@ def latest_data_week(spark, d):
     ),
 )
 def country_list(spark, d):
-    series = base_series(spark, d)
-    pts, stale, info = points(spark, d, series), vw.staleness(series, tt.as_of()), vw.type_info(series)
+    series, pts = stored(spark, d)
+    stale, info = vw.staleness(series, tt.as_of()), vw.type_info(series)
     details = stale.join(info, "series_id").select(
         "series_id",
         F.col("series_id").alias("name"),

@@ -55,7 +55,7 @@ def levels_of(levels: list[float]) -> Column:
 
 def pool_quantiles(pool: Column, levels: list[float]) -> Column:
     """Quantiles at fixed levels of an unordered array; sorts once."""
-    ordered = F.array_sort(pool)
+    ordered = F.sort_array(pool)
     # the sorted pool is bound to a lambda variable so it is sorted a single time
     return F.element_at(
         F.transform(

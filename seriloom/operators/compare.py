@@ -95,36 +95,49 @@ def hub_quantiles(
     """(model, round, h, q) with one array aligned to ``levels``.
 
     Each level takes the value given exactly at it, else the nearest level closer than the
-    tolerance; a (model, round, h) with a level missing is dropped. A submission has a few dozen
-    levels, so they are matched inside one row per (model, round, h) instead of being joined.
+    tolerance; a (model, round, h) with a level missing is dropped. The nearest match is an
+    equi-join on tolerance-wide buckets against the fixed level list (three rows per level).
     """
-    lv = levels or fv.LEVELS_23
+    lv = [round(x, 3) for x in (levels or fv.LEVELS_23)]
+    # buckets are counted in units of the tolerance; a level reaches into the two next to its own
+    width = float(tolerance)
+    near = F.array(
+        *[
+            F.struct(F.lit(int(p / width + 1e-9) + step).cast("bigint").alias("bucket"), F.lit(p).alias("level"))
+            for p in lv
+            for step in (-1, 0, 1)
+        ]
+    )
+    buckets = forecasts.sparkSession.range(1).select(F.explode(near).alias("e")).select("e.*")
     rows = forecasts.filter(
         (F.col("luogo") == place)
         & (F.col("tipo_valore") == "quantile")
         & F.col("orizzonte").isin(horizons or [1, 2, 3, 4])
         & (F.col("target").isNull() | F.col("target").isin("ILI", "ARI"))
         & F.col("valore").isNotNull()
+    ).select(
+        "model",
+        "round",
+        F.col("orizzonte").alias("h"),
+        "id_valore",
+        "valore",
+        F.floor(F.col("id_valore") / width + 1e-9).alias("bucket"),
     )
-    # exactly the wanted level first, then by distance, then the lower level
-    per_level = rows.groupBy("model", "round", F.col("orizzonte").alias("h"), "id_valore").agg(
-        F.max("valore").alias("valore")
+    gap = F.abs(F.col("id_valore") - F.col("level"))
+    best = F.min(F.struct(gap.alias("gap"), F.col("id_valore"), (-F.col("valore")).alias("neg")))
+    per_level = (
+        rows.join(buckets, "bucket")
+        .filter(gap < width)
+        .groupBy("model", "round", "h", "level")
+        .agg((-best["neg"]).alias("v"))
     )
-    have = per_level.groupBy("model", "round", "h").agg(
-        F.array_sort(F.collect_list(F.struct("id_valore", "valore"))).alias("have")
+    return (
+        per_level.groupBy("model", "round", "h")
+        .agg(F.sort_array(F.collect_list(F.struct("level", "v"))).alias("e"))
+        .filter(F.size("e") == len(lv))
+        .select("model", "round", "h", F.col("e.v").alias("q"))
     )
 
-    def nearest(p: Column) -> Column:
-        gaps = F.transform(
-            "have",
-            lambda e: F.struct(F.abs(e["id_valore"] - p).alias("gap"), e["id_valore"].alias("lv"), e["valore"].alias("v")),
-        )
-        best = F.array_min(gaps)
-        return F.when(best["gap"] < tolerance, best["v"])
-
-    q = F.transform(levels_of([round(x, 3) for x in lv]), nearest)
-    return have.select("model", "round", "h", q.alias("q")).filter(F.forall("q", lambda v: v.isNotNull()))
-
 
 def target_week_shift(rounds: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds target_year, target_week (52-week calendar) and the actual; rows without one go."""

@@ -76,6 +76,11 @@ def rolling_points(
     )
     for h in range(2, H + 1):
         base = base.withColumn(f"_d{h}", F.col("value") - F.lag("value", h).over(w))
+    base = base.withColumn("_n", F.count("*").over(whole_series()))
+    if history is not None:
+        # rows too old for any evaluated cutoff leave before the sliding frames are built
+        reach = window + H + max(history, fv.SEASON_WEEKS) + 1
+        base = base.filter(F.col("idx") >= F.col("_n") - reach)
     first = -(H + history) if history is not None else Window.unboundedPreceding
     past = w.rowsBetween(first, -(H + 1))
 
@@ -85,7 +90,6 @@ def rolling_points(
     hs = range(1, H + 1)
     scored_at = [H - h + (1 - target_offset) for h in hs]
     columns = {
-        "_n": F.count("*").over(whole_series()),
         "last_value": back("value", H + 1),
         "pool": F.collect_list("_d1").over(past),
         "season_pool": F.collect_list("_ds").over(past),
@@ -166,12 +170,14 @@ def random_walk_quantiles(
     Draws are hashes of (series, cutoff, path, step), so results do not depend on partitioning,
     retries or row order. Step 1 is the exact quantile of the pool. The simulation is the one
     place where a row needs thousands of numbers: it runs vectorised on Arrow batches, row by
-    row, without any shuffle and with memory bounded by n_paths x horizon.
+    row, with memory bounded by n_paths x horizon.
     """
     lv = levels or fv.LEVELS_7
     pool = F.when(F.size("pool") >= fv.MIN_POOL, symmetric(F.col("pool")))
     udf = _walk_udf(lv, horizon, n_paths)
-    return points.withColumn(
+    # a row is small but costs n_paths x horizon draws: spread rows by count, not by bytes
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(tasks, "series_id", "cutoff").withColumn(
         name, udf(F.col("last_value"), pool, draw_seed(F.col("series_id"), F.col("cutoff")))
     )
 
@@ -230,7 +236,7 @@ def level_positions(long: DataFrame) -> DataFrame:
     """Long quantiles to one row per (series, cutoff, h) with arrays sorted by level."""
     return (
         long.groupBy("series_id", "cutoff", "h")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "value"))).alias("e"))
+        .agg(F.sort_array(F.collect_list(F.struct("level", "value"))).alias("e"))
         .select("series_id", "cutoff", "h", F.col("e.level").alias("levels"), F.col("e.value").alias("q"))
     )
 
@@ -238,24 +244,35 @@ def level_positions(long: DataFrame) -> DataFrame:
 def forecast_origin(weekly: DataFrame, horizon: int = fv.HORIZON, history: int | None = fv.HISTORY_WEEKS) -> DataFrame:
     """One row per series at its end, with the inputs of the forecasters (cutoff = length)."""
     w = by_week()
-    first = 1 - history if history is not None else Window.unboundedPreceding
-    past = w.rowsBetween(first, 0)
-    steps = weekly
-    for name, lag in [("_d1", 1), ("_ds", fv.SEASON_WEEKS), *[(f"_d{h}", h) for h in range(2, horizon + 1)]]:
-        steps = steps.withColumn(name, F.col("value") - F.lag("value", lag).over(w))
-    hs = range(1, horizon + 1)
-    rows = steps.select(
+    lags = {"_d1": 1, "_ds": fv.SEASON_WEEKS, **{f"_d{h}": h for h in range(2, horizon + 1)}}
+    steps = weekly.select(
         "series_id",
         "week",
-        (F.col("idx") + 1).alias("cutoff"),
-        F.col("value").alias("last_value"),
-        F.collect_list("_d1").over(past).alias("pool"),
-        F.collect_list("_ds").over(past).alias("season_pool"),
-        F.array(*[F.collect_list(f"_d{h}").over(past) for h in hs]).alias("step_pools"),
-        F.array(*[F.lag("value", fv.SEASON_WEEKS - h).over(w) for h in hs]).alias("season_base"),
+        "idx",
+        "value",
         F.max("idx").over(whole_series()).alias("_last"),
+        *[(F.col("value") - F.lag("value", k).over(w)).alias(n) for n, k in lags.items()],
+    )
+    # only the end of the series is wanted, so the pools are plain aggregates, not sliding frames
+    recent = F.lit(True) if history is None else F.col("idx") > F.col("_last") - history
+
+    def pool(name: str) -> Column:
+        kept = F.when(recent & F.col(name).isNotNull(), F.struct("idx", F.col(name).alias("d")))
+        return F.sort_array(F.collect_list(kept))["d"]
+
+    def at(offset: int) -> Column:
+        return F.max(F.when(F.col("idx") == F.col("_last") - offset, F.col("value")))
+
+    hs = range(1, horizon + 1)
+    return steps.groupBy("series_id").agg(
+        F.max("week").alias("week"),
+        (F.max("idx") + 1).alias("cutoff"),
+        at(0).alias("last_value"),
+        pool("_d1").alias("pool"),
+        pool("_ds").alias("season_pool"),
+        F.array(*[pool(f"_d{h}") for h in hs]).alias("step_pools"),
+        F.array(*[at(fv.SEASON_WEEKS - h) for h in hs]).alias("season_base"),
     )
-    return rows.filter(F.col("cutoff") == F.col("_last") + 1).drop("_last")
 
 
 def forecast_layout(

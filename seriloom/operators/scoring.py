@@ -43,7 +43,7 @@ def find_peaks(
     )
     # one array of runs per series (bounded by the calendar) carries all later steps
     series = runs.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("first", "last", "v"))).alias("runs"),
+        F.sort_array(F.collect_list(F.struct("first", "last", "v"))).alias("runs"),
         F.max("threshold").alias("threshold"),
     )
     # kept whole: a summit is a run strictly above both neighbours; the ends never qualify
@@ -65,7 +65,7 @@ def find_peaks(
         ),
         lambda s: F.coalesce(s["ok"], F.lit(False)),
     )
-    ranked = F.reverse(F.array_sort("summits"))  # by height, then position, both descending
+    ranked = F.sort_array("summits", asc=False)  # by height, then position, both descending
     none = F.filter("ranked", lambda s: F.lit(False))
     spaced = F.aggregate(
         "ranked",
@@ -254,12 +254,12 @@ def metrics_document(metrics: DataFrame, scores: DataFrame) -> DataFrame:
     """metrics plus the nested maps: per-horizon ratios and per-phase errors."""
     h = horizon_rwis(scores).groupBy("series_id").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.col("h").cast("string"), F.round("rwis", 4))))
+            F.sort_array(F.collect_list(F.struct(F.col("h").cast("string"), F.round("rwis", 4))))
         ).alias("per_horizon_rwis")
     )
     p = phase_mape(scores).groupBy("series_id").agg(
         F.map_from_entries(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("phase", F.struct(F.round("mape_pct", 2).alias("mape_pct"), "n_points").alias("v"))
                 )

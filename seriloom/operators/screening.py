@@ -125,7 +125,7 @@ def _series_arrays(weekly: DataFrame, covariates: list[str]) -> DataFrame:
     """One row per series with index-ordered arrays; a series is bounded by the calendar."""
     fields = ["idx", "week", "value", *covariates]
     return weekly.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("rows")
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")
     ).select("series_id", *[F.col(f"rows.{f}").alias(f"a_{f}") for f in fields[1:]], F.size("rows").alias("n"))
 
 
@@ -148,7 +148,7 @@ def build_windows(
     covs = covariates or []
     known = fv.FUTURE_KNOWN if future_known is None else future_known
     arrays = _series_arrays(weekly, covs).filter(F.col("n") >= context + target + held_out)
-    positive_train = F.array_sort(
+    positive_train = F.sort_array(
         F.filter(F.slice("a_value", F.lit(1), F.col("n") - held_out), lambda v: v > 0)
     )
     facts = arrays.withColumns(

@@ -234,7 +234,7 @@ def status_map(
 def status_documents(status: DataFrame, future: DataFrame) -> DataFrame:
     """status rows with their forecast weeks nested and sorted (at most four per series)."""
     weeks = future.groupBy("series_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct(
                     "date",
@@ -257,10 +257,10 @@ def status_documents(status: DataFrame, future: DataFrame) -> DataFrame:
 def detail_documents(points: DataFrame, status: DataFrame, changes: DataFrame) -> DataFrame:
     """One nested detail document per series; its points are bounded by the calendar."""
     body = points.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("date", *FIELDS))).alias("points")
+        F.sort_array(F.collect_list(F.struct("date", *FIELDS))).alias("points")
     )
     switch = changes.groupBy("series_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("date", F.col("from_type").alias("from"), F.col("to_type").alias("to")))
         ).alias("data_type_changes")
     )
@@ -285,7 +285,7 @@ def combine_facts(info: DataFrame, parts: DataFrame, changes: DataFrame, as_of:
     lists = changes.groupBy("series_id").agg(
         F.concat_ws(
             ";",
-            F.array_sort(F.collect_list(F.concat_ws(">", F.col("date").cast("string"), "from_type", "to_type"))),
+            F.sort_array(F.collect_list(F.concat_ws(">", F.col("date").cast("string"), "from_type", "to_type"))),
         ).alias("changes")
     )
     rows = parts.join(info, "series_id").join(lists, "series_id", "left").fillna("", ["changes"])
