@@ -142,8 +142,11 @@ def score_horizons(
         fields.append(baseline)
     if "phases" in points.columns:
         fields.append("phases")
-    rows = points.select(
-        "series_id", "t", "cutoff", "threshold", F.posexplode(F.arrays_zip(*fields)).alias("p", "e")
+    # a NULL array would make the whole zip NULL; an empty one is padded with NULLs
+    whole = [F.coalesce(F.col(f), F.array()).alias(f) for f in fields]
+    padded = points.select("series_id", "cutoff", "threshold", *whole)
+    rows = padded.select(
+        "series_id", "cutoff", "threshold", F.posexplode(F.arrays_zip(*fields)).alias("p", "e")
     )
     actual, q = F.col("e.actuals"), F.col(f"e.{model}")
     mid = at_level(q, lv, 0.5)
