@@ -191,8 +191,10 @@ direct_part("ahead", "origin", "diffs", L9, H)
     "forecast_layout",
     sql(
         f"""SELECT series_id, {B("idx", "time")}, {R("value", "context")}, NULL::DOUBLE AS mean_forecast, NULL::DOUBLE AS q_low, NULL::DOUBLE AS q_high FROM ev
-        UNION ALL SELECT series_id, {B("cutoff + h - 1", "time")}, NULL, {R("q[5]")}, {R("q[1]")}, {R("q[9]")} FROM ahead""",
+        UNION ALL SELECT o.series_id, {B("o.cutoff + s.h - 1", "time")}, NULL, {R("q[5]")}, {R("q[1]")}, {R("q[9]")}
+        FROM origin o CROSS JOIN (SELECT unnest(range(1, {H} + 1)) AS h) s LEFT JOIN ahead a ON a.series_id = o.series_id AND a.h = s.h""",
         "ev",
+        "origin",
         "ahead",
     ),
 )

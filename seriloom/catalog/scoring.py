@@ -316,7 +316,7 @@ _NAMES = ["mape_pct", "wis", "relative_wis", "coverage_50", "coverage_95", "peak
         " UNION ALL ".join(
             f"SELECT '{n}' AS metric, {R(f'avg({n})', 'mean')}, {R(f'quantile_cont({n}, 0.5)', 'median')}, count({n}) AS n, "
             + (f"count(*) FILTER (WHERE {n} < 1)" if n == "relative_wis" else "NULL::BIGINT")
-            + " AS n_below_1 FROM metrics"
+            + f" AS n_below_1 FROM metrics HAVING count({n}) > 0"  # a metric nobody has gets no line
             for n in _NAMES
         ),
         "metrics",
