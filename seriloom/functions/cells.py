@@ -24,6 +24,17 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """Scaled half-to-even rounding, the array rounding that published figures go through.
+
+    Spark's own ``round`` works on the shortest decimal text and would turn 1.275 (which is stored
+    slightly below) into 1.28.
+    """
+    c = F.col(value) if isinstance(value, str) else value
+    scale = F.lit(float(10**places))
+    return F.rint(c * scale) / scale
+
+
 def share(cond: Column) -> Column:
     """Aggregate: share of rows where ``cond`` holds."""
     return F.avg(cond.cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
-from seriloom.functions.cells import count_where, median, ratio, share
+from seriloom.functions.cells import count_where, median, ratio, rounded, share
 from seriloom.functions.scores import at_level, covered, weighted_interval_score
 from seriloom.operators.percentiles import grouped_percentiles
 from seriloom.operators.series import by_week
@@ -231,22 +231,22 @@ def metrics_per_series(series: DataFrame, scores: DataFrame, timing: DataFrame |
     Series without a scored step keep their row: counts are 0 and figures NULL.
     """
     m = scores.groupBy("series_id").agg(
-        F.round(100 * F.avg("ape"), 2).alias("mape_pct"),
-        F.round(100 * median(F.col("ape")), 2).alias("median_error_pct"),
-        F.round(F.avg("ae"), 4).alias("mae"),
-        F.round(F.avg("wis"), 4).alias("wis"),
-        F.round(
+        rounded(100 * F.avg("ape"), 2).alias("mape_pct"),
+        rounded(100 * median(F.col("ape")), 2).alias("median_error_pct"),
+        rounded(F.avg("ae"), 4).alias("mae"),
+        rounded(F.avg("wis"), 4).alias("wis"),
+        rounded(
             F.when(F.avg("wis") != 0, F.avg("wis") / F.nullif(F.avg("baseline_wis"), F.lit(0.0))), 3
         ).alias("relative_wis"),
-        F.round(100 * F.avg("cov50"), 1).alias("coverage_50"),
-        F.round(100 * F.avg("cov_outer"), 1).alias("coverage_95"),
+        rounded(100 * F.avg("cov50"), 1).alias("coverage_50"),
+        rounded(100 * F.avg("cov_outer"), 1).alias("coverage_95"),
         F.count("*").alias("n_eval_points"),
     )
     out = series.join(m, "series_id", "left")
     if timing is not None:
         p = timing.groupBy("series_id").agg(
-            F.round(F.avg(F.abs("error")), 2).alias("peak_timing_mae_weeks"),
-            F.round(F.avg("error"), 2).alias("peak_timing_bias_weeks"),
+            rounded(F.avg(F.abs("error")), 2).alias("peak_timing_mae_weeks"),
+            rounded(F.avg("error"), 2).alias("peak_timing_bias_weeks"),
             F.count("*").alias("n_peak_timing_points"),
         )
         out = out.join(p, "series_id", "left").fillna(0, ["n_peak_timing_points"])
@@ -257,14 +257,14 @@ def metrics_document(metrics: DataFrame, scores: DataFrame) -> DataFrame:
     """metrics plus the nested maps: per-horizon ratios and per-phase errors."""
     h = horizon_rwis(scores).groupBy("series_id").agg(
         F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(F.col("h").cast("string"), F.round("rwis", 4))))
+            F.sort_array(F.collect_list(F.struct(F.col("h").cast("string"), rounded("rwis", 4))))
         ).alias("per_horizon_rwis")
     )
     p = phase_mape(scores).groupBy("series_id").agg(
         F.map_from_entries(
             F.sort_array(
                 F.collect_list(
-                    F.struct("phase", F.struct(F.round("mape_pct", 2).alias("mape_pct"), "n_points").alias("v"))
+                    F.struct("phase", F.struct(rounded("mape_pct", 2).alias("mape_pct"), "n_points").alias("v"))
                 )
             )
         ).alias("phase_mape")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
-from seriloom.functions.cells import count_where, median, share, sorted_quantile
+from seriloom.functions.cells import count_where, median, rounded, share, sorted_quantile
 from seriloom.operators.series import whole_series
 
 
@@ -41,9 +41,9 @@ def quality_screen(
     value = F.col("value")
     stats = weekly.groupBy("series_id").agg(
         F.count("value").alias("n_weeks_nonnan"),
-        F.round(100 * (1 - F.count("value") / F.count("*")), 1).alias("nan_pct"),
-        F.round(F.datediff(F.max("week"), F.min("week")) / F.lit(365.25), 1).alias("years_coverage"),
-        F.coalesce(F.round(median(F.when(value > 0, value)), 2), F.lit(0.0)).alias("scale"),
+        rounded(100 * (1 - F.count("value") / F.count("*")), 1).alias("nan_pct"),
+        rounded(F.datediff(F.max("week"), F.min("week")) / F.lit(365.25), 1).alias("years_coverage"),
+        F.coalesce(rounded(median(F.when(value > 0, value)), 2), F.lit(0.0)).alias("scale"),
     )
     out = stats.join(nan_pattern(weekly).select("series_id", F.col("pattern").alias("nan_pattern")), "series_id")
 

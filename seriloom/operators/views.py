@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
 from seriloom.functions.calendar import week_start
+from seriloom.functions.cells import rounded
 from seriloom.functions.scores import level_position
 
 BAND = ["forecast", "lower", "upper", "lower_50", "upper_50"]
@@ -216,8 +217,8 @@ def status_map(
     scored = activity_score(now, base)
     out = stale.join(info.select("series_id", "current_type"), "series_id", "left").join(scored, "series_id", "left")
     figures = {
-        "value": F.round("value", 1),
-        "zscore": F.round("zscore", 2),
+        "value": rounded("value", 1),
+        "zscore": rounded("zscore", 2),
         "score": F.col("score"),
         "source": F.col("source"),
     }
@@ -238,8 +239,8 @@ def status_documents(status: DataFrame, future: DataFrame) -> DataFrame:
             F.collect_list(
                 F.struct(
                     "date",
-                    F.round("value", 1).alias("value"),
-                    F.round("zscore", 2).alias("zscore"),
+                    rounded("value", 1).alias("value"),
+                    rounded("zscore", 2).alias("zscore"),
                     "score",
                     "status",
                 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
 from seriloom.functions.calendar import add_weeks_52, iso_monday, week_end, week_start, wrap_week
-from seriloom.functions.cells import pool_quantiles, to_day, to_number
+from seriloom.functions.cells import pool_quantiles, rounded, to_day, to_number
 from seriloom.functions.scores import interval_score, weighted_interval_score
 
 
@@ -67,3 +67,9 @@ def test_pool_quantiles_match_numpy(spark):
     got = one(spark, pool_quantiles(F.array(*[F.lit(x) for x in pool]), fv.LEVELS_23))[0]
     assert np.allclose(got, np.quantile(pool, fv.LEVELS_23))
     assert all(v is None for v in one(spark, pool_quantiles(F.array().cast("array<double>"), [0.5]))[0])
+
+
+def test_published_rounding(spark):
+    xs = [1.275, 0.125, 2.675, 1.005, -1.275, 12.345678, 0.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", rounded("x", 2).alias("r"))
+    assert {r.x: r.r for r in df.collect()} == {x: float(np.round(x, 2)) for x in xs}
