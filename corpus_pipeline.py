@@ -10,7 +10,7 @@ from seriloom.llm import bpe, catalog
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE (1): ids, their number and digests, of every document that is left."""
-    return bpe.digests(bpe.encode(spark, docs, catalog.vocabulary(), catalog.pattern()), catalog.vocabulary())
+    return bpe.digests(bpe.encode(docs, catalog.vocabulary(), catalog.pattern()), catalog.vocabulary())
 
 
 STAGES = [("tokens", tokens)]

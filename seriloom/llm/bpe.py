@@ -4,14 +4,17 @@ A *unit* is a run of white space with the run of other characters after it (or a
 the pattern can never match across), so that every match of the pre-token pattern lies inside one
 unit and can be found in it alone. Encoding takes these steps:
 
-1. ``unit_blocks``: texts are exploded into units. A block of documents keeps its positions as
-   codes into the block's own list of distinct units: the positions of a unit are thus gathered
-   before anything is shuffled. Blocks are written once to the shared folder.
-2. The distinct units of all blocks are shuffled by the unit; each distinct unit meets its copies
-   from other blocks in one sorted run and is encoded once.
+1. Texts are exploded into units. A block of documents keeps its positions as codes into the
+   block's own list of distinct units: the positions of a unit are gathered before anything moves.
+2. The distinct units of all blocks are shuffled by a hash of the unit, packed by (block, bucket);
+   the task of a bucket encodes each of its distinct units once.
 3. The ids go back to the blocks they came from and are put in place by position.
 
-A frequent word has one row for each block, not one for each use, so no key is hot.
+A frequent word is sent once for each block, not once for each use, so no key is hot. A task holds
+one block, or the distinct units of one bucket; ``buckets`` grows with the shuffle partitions.
+
+Both sides of step 3 read ``docs``, so it must be a stored table (or give the same rows in the
+same order each time); a digest of each block's units is compared, and a difference is an error.
 
 Decoding joins ids with the token-byte table. The table has one row for each id of the
 vocabulary, a number fixed by the vocabulary file (50,256 here), so it is sent to every task.
@@ -28,11 +31,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriloom.functions.storage import fresh_path
-from seriloom.llm.batches import filled, slices, without_empty
+from seriloom.llm.batches import filled, hashes_of, slices, without_empty
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -70,31 +72,62 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return planes.reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def unit_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block: doc_ids, units of each document (``lengths``), codes, distinct ``words``."""
-
-    def blocks(batches):
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", block_bytes):
-            starts, units = units_of(batch.column("text"))
-            coded = units.dictionary_encode()
-            codes = coded.indices.to_numpy()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block], pa.int64()),
-                    "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "n_units": pa.array([len(codes)], pa.int64()),
-                    "lengths": pa.array([packed(np.diff(starts))], pa.binary()),
-                    "codes": pa.array([packed(codes)], pa.binary()),
-                    "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
-                }
-            )
-            block += 1
-
-    schema = "block long, doc_ids array<long>, n_units long, lengths binary, codes binary, words array<string>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(blocks, schema)
+def _blocks(batches, buckets: int, block_bytes: int):
+    """(block number, rows, starts, codes, distinct units, bucket of each, digest) of a task's documents."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
+    for batch in slices(batches, "text", block_bytes):
+        starts, units = units_of(batch.column("text"))
+        coded = units.dictionary_encode()
+        hashes = hashes_of(coded.dictionary)
+        digest = int(hashes.sum(dtype=np.uint64).view(np.int64)) ^ len(units)
+        yield block, batch, starts, coded.indices.to_numpy(), coded.dictionary, (hashes % np.uint64(buckets)).astype(np.int64), digest
+        block += 1
+
+
+def positions(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block: its doc_ids, units of each document, code of each unit, bucket of each code."""
+
+    def pack(batches):
+        for block, batch, starts, codes, words, bucket, digest in _blocks(batches, buckets, block_bytes):
+            row = {
+                "block": block,
+                "digest": digest,
+                "doc_ids": batch.column("doc_id").to_pylist(),
+                "n": [len(codes), len(words)],
+                "lengths": packed(np.diff(starts)),
+                "codes": packed(codes),
+                "buckets": packed(bucket),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    names = ["block", "digest", "doc_ids", "n", "lengths", "codes", "buckets"]
+    kinds = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 3
+    schema = pa.schema(list(zip(names, kinds)))
+    ddl = "block long, digest long, doc_ids array<long>, n array<long>, lengths binary, codes binary, buckets binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, ddl)
+
+
+def distinct_units(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(bucket, block, digest, n, lengths, words): a block's distinct units by bucket, in the order of their codes."""
+
+    def pack(batches):
+        for block, _, _, _, words, bucket, digest in _blocks(batches, buckets, block_bytes):
+            order = np.argsort(bucket, kind="stable")
+            words = words.cast(pa.binary()).take(pa.array(order)).to_pylist()
+            ends = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            rows = []
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                own = words[ends[k] : ends[k + 1]]
+                joined = pa.Codec("zstd").compress(b"".join(own), asbytes=True)
+                rows.append((k, block, digest, len(own), packed(np.array([len(w) for w in own])), joined))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
+
+    names = ["bucket", "block", "digest", "n", "lengths", "words"]
+    schema = pa.schema(list(zip(names, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])))
+    ddl = "bucket int, block long, digest long, n long, lengths binary, words binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, ddl)
 
 
 def _encoder(vocabulary: bytes, pattern: str):
@@ -106,58 +139,72 @@ def _encoder(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_words(words: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
-    """(block, code, ids) of (block, code, word): every distinct word is encoded once."""
+def encode_units(units: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
+    """(block, bucket, digest, n, lengths, ids): every distinct unit of a bucket is encoded once."""
 
     def encode(batches):
-        encoder, last, ids = None, None, []
+        encoder, known, of = None, {}, None
         for batch in batches:
             encoder = encoder or _encoder(vocabulary, pattern)
-            coded = batch.column("word").dictionary_encode()
-            found = []
-            for word in coded.dictionary.to_pylist():  # sorted, so only the first can be known already
-                if word != last:
-                    last, ids = word, encoder.encode_ordinary(word)
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("code"), pa.array(found, pa.list_(pa.int32())).take(coded.indices)],
-                ["block", "code", "ids"],
-            )
-
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = words.repartition(n, "word").sortWithinPartitions("word")
-    return runs.mapInArrow(encode, "block long, code int, ids array<int>")
-
-
-def encode(
-    spark: SparkSession, docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+            for row in batch.to_pylist():
+                if row["bucket"] != of:  # rows come sorted by bucket
+                    known, of = {}, row["bucket"]
+                ends = np.cumsum(unpacked(row["lengths"], row["n"]))
+                joined = pa.Codec("zstd").decompress(row["words"], int(ends[-1]), asbytes=True)
+                found, start = [], 0
+                for end in ends.tolist():
+                    word = joined[start:end]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = encoder.encode_ordinary(word.decode("utf-8"))
+                    found.append(ids)
+                    start = end
+                flat = np.fromiter((i for ids in found for i in ids), np.int64)
+                done = (row["block"], of, row["digest"], [len(found), len(flat)], packed(np.array([len(x) for x in found])), packed(flat))
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, done))], schema)
+
+    names = ["block", "bucket", "digest", "n", "lengths", "ids"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()])))
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = units.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return runs.mapInArrow(encode, "block long, bucket int, digest long, n array<long>, lengths binary, ids binary")
+
+
+def put_in_place(_key, rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+    """(doc_id, ids) of a block from its positions and the ids of its distinct units."""
+    row = rows.to_pylist()[0]
+    n_units, n_words = row["n"]
+    parts = sorted(dictionary.to_pylist(), key=lambda x: x["bucket"])
+    if any(x["digest"] != row["digest"] for x in parts) or sum(x["n"][0] for x in parts) != n_words:
+        raise ValueError("docs gave other rows when it was read again; store it first")
+    sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if parts:
+        sizes = np.concatenate([unpacked(x["lengths"], x["n"][0]) for x in parts])
+        ids = np.concatenate([unpacked(x["ids"], x["n"][1]) for x in parts])
+    # units lie bucket by bucket; inside a bucket they follow the codes
+    order = np.argsort(unpacked(row["buckets"], n_words), kind="stable")
+    first, size = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+    first[order], size[order] = np.cumsum(sizes) - sizes, sizes
+    codes = unpacked(row["codes"], n_units)
+    long = size[codes]
+    ends = np.concatenate([[0], np.cumsum(long)])
+    at = np.repeat((first[codes] - ends[:-1]).astype(np.int32), long)
+    at += np.arange(len(at), dtype=np.int32)
+    starts = np.concatenate([[0], np.cumsum(unpacked(row["lengths"], len(row["doc_ids"])))])
+    lists = pa.ListArray.from_arrays(pa.array(ends[starts], pa.int32()), pa.array(ids[at].astype(np.int32)))
+    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": lists})
+
+
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids) for every row of ``docs(doc_id, text)``.
 
     ``vocabulary_path`` names a rank file that the driver can read; its content goes to the tasks.
     """
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
-    path = fresh_path(spark, "bpe-blocks")
-    made = unit_blocks(docs, block_bytes)
-    made.write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(made.schema).parquet(path)
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-
-    def put_in_place(_key, rows: pa.Table, dictionary: pa.Table) -> pa.Table:
-        order = np.argsort(dictionary.column("code").to_numpy(), kind="stable")
-        ids = dictionary.column("ids").combine_chunks()
-        ids = (pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids).take(pa.array(order))
-        row = {name: rows.column(name)[0].as_py() for name in ("n_units", "lengths", "codes")}
-        doc_ids = rows.column("doc_ids")[0].values
-        placed = ids.take(pa.array(unpacked(row["codes"], row["n_units"])))
-        ends = np.concatenate([[0], np.cumsum(unpacked(row["lengths"], len(doc_ids)))])
-        offsets = (placed.offsets.to_numpy() - placed.offsets[0].as_py())[ends]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), placed.flatten())
-        return pa.table({"doc_id": doc_ids, "ids": lists})
-
-    left = blocks.drop("words").groupBy("block")
-    right = encode_words(words, vocabulary, pattern).groupBy("block")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = positions(docs, buckets, block_bytes).groupBy("block")
+    right = encode_units(distinct_units(docs, buckets, block_bytes), vocabulary, pattern).groupBy("block")
     return left.cogroup(right).applyInArrow(put_in_place, "doc_id long, ids array<int>")
 
 

@@ -40,5 +40,5 @@ def pattern() -> str:
 
 @query("op1_byte_bpe")
 def op1(spark, sf_dir):
-    encoded = bpe.encode(spark, table(spark, sf_dir, "documents"), vocabulary(), pattern())
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), pattern())
     return bpe.digests(encoded, vocabulary())
