@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriloom.llm import bpe
+from seriloom.llm import bpe, minhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +43,24 @@ def pattern() -> str:
 def op1(spark, sf_dir):
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), pattern())
     return bpe.digests(encoded, vocabulary())
+
+
+@query("op2_token_counts")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = docs.withColumn("sections", token_counts.line_sections(F.col("text")))
+    counted = token_counts.count_tokens(cut, vocabulary(), pattern(), "start")
+    whole = F.transform("section_tokens", lambda x: x.cast("long"))
+    return counted.select(
+        "doc_id",
+        "n_tokens",
+        F.size("section_tokens").cast("long").alias("n_sections"),
+        "n_crossing",
+        F.coalesce(F.array_max(whole), F.lit(0)).cast("long").alias("largest_section"),
+        F.array_join(whole.cast("array<string>"), ",").alias("section_tokens"),
+    )
+
+
+@query("op3_minhash")
+def op3(spark, sf_dir):
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
