@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriloom.llm import bpe, minhash, token_counts
+from seriloom.llm import bpe, minhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op2(spark, sf_dir):
 @query("op3_minhash")
 def op3(spark, sf_dir):
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
