@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from seriloom.llm.batches import filled, hashes_of, slices, without_empty
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 # The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
