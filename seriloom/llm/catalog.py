@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriloom.llm import bpe, minhash, token_counts, toxicity
+from seriloom.llm import bpe, minhash, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op3(spark, sf_dir):
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    return quality.judge(spark, table(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 """Kneser-Ney models over the letters of words: counted by Spark, kept in sorted hash arrays.
 
 An event is a letter (or the end of a word) after the ``order - 1`` letters before it inside the
-word, lower-cased; a short history is filled up with a start mark, so the first letters of a
+word (lower-cased, if asked for); a short history is filled up with a start mark, so the first letters of a
 word have the whole word so far as history. A word's log-probability depends on the word alone, so
 a slice of documents looks up each of its distinct words once.
 
@@ -34,9 +34,10 @@ FOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = 1, 2  # symbols; letters are code points + 3
 
 
-def events_of(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+def events_of(words: list[str], order: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(symbols with padding, position of each event); words must hold no line end."""
-    text = "\n".join(words).lower() + "\n"
+    text = "\n".join(words) + "\n"
+    text = text.lower() if fold_case else text
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     ends = np.flatnonzero(points == 10)
     word = np.searchsorted(ends, np.arange(len(points)))
@@ -54,11 +55,7 @@ def slots_of(symbols: np.ndarray, at: np.ndarray, length: int, bits: int, back:
     return (mixed(h) >> np.uint64(64 - bits)).astype(np.int64) if length else np.zeros(len(at), np.int64)
 
 
-def word_counts(codes: np.ndarray, n_words: int, weights: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.bincount(codes, w, minlength=n_words) for w in weights]
-
-
-def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS) -> DataFrame:
+def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS, fold_case: bool = True) -> DataFrame:
     """(k, slot, context, tail, opening, counts) of ``docs(text, group)``; group runs from 0 to groups - 1.
 
     ``context`` and ``tail`` are the hashes of the n-gram without its last and its first symbol.
@@ -68,7 +65,7 @@ def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int
         for batch in slices(batches, "text"):
             starts, codes, words = words_of(batch.column("text"))
             group = np.repeat(batch.column("group").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts))
-            symbols, at = events_of(words.to_pylist(), order)
+            symbols, at = events_of(words.to_pylist(), order, fold_case)
             ends = np.flatnonzero(symbols[at] == END)
             lengths = np.diff(np.concatenate([[-1], ends]))
             used = np.stack([np.bincount(codes[group == g], minlength=len(words)) for g in range(groups)])
@@ -145,6 +142,7 @@ class Model:
     uniform: float
     shared: list[Tables]
     top: list[Tables]
+    fold_case: bool = True
     _dense: dict = field(default_factory=dict, repr=False)
 
     def _table(self, kind: str, i: int):
@@ -156,7 +154,7 @@ class Model:
         """(events of each word, log-probability of each word by group)."""
         if not words:
             return np.zeros(0, np.int64), np.zeros((len(self.top), 0))
-        symbols, at = events_of(words, self.order)
+        symbols, at = events_of(words, self.order, self.fold_case)
         ends = np.flatnonzero(symbols[at] == END)
         starts = np.concatenate([[0], ends[:-1] + 1])
         p = np.full(len(at), self.uniform)
@@ -170,7 +168,7 @@ class Model:
         return probs[slots_of(symbols, at, k, self.bits)] + left[slots_of(symbols, at, k - 1, self.bits, 1)] * lower
 
 
-def fit(counts: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS) -> Model:
+def fit(counts: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS, fold_case: bool = True) -> Model:
     """The model of ``ngram_counts``; lower orders are shared by all groups."""
     columns = ["k", "slot", "context", "tail", "opening", *[f"c{g}" for g in range(groups)]]
     rows = {c: v.to_numpy() for c, v in zip(columns, counts.select(*columns).toArrow().columns)}
@@ -184,4 +182,4 @@ def fit(counts: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS
         shared.append(tables(rows["slot"][here], rows["context"][here], adjusted))
     here = at[order]
     top = [tables(rows["slot"][here], rows["context"][here], rows[f"c{g}"][here]) for g in range(groups)]
-    return Model(order, bits, 1.0 / max(len(at[1]) + 1, 2), shared, top)
+    return Model(order, bits, 1.0 / max(len(at[1]) + 1, 2), shared, top, fold_case)
