@@ -170,7 +170,7 @@ def encode_units(units: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame
     return runs.mapInArrow(encode, "block long, bucket int, digest long, n array<long>, lengths binary, ids binary")
 
 
-def put_in_place(_key, rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+def put_in_place(_key, rows, dictionary):
     """(doc_id, ids) of a block from its positions and the ids of its distinct units."""
     row = rows.to_pylist()[0]
     n_units, n_words = row["n"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriloom.llm import bpe, minhash, quality, token_counts, toxicity
+from seriloom.llm import bpe, language, minhash, mtree, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,20 @@ def op4(spark, sf_dir):
 @query("op5_quality")
 def op5(spark, sf_dir):
     return quality.judge(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op6_mtree_search")
+def op6(spark, sf_dir):
+    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = mtree.top_k(vectors, vectors.filter(F.col("id") % 20 == 0), 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op7_secrets")
+def op7(spark, sf_dir):
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op8_language")
+def op8(spark, sf_dir):
+    return language.predict(spark, table(spark, sf_dir, "documents"))
