@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriloom.llm import bpe, language, minhash, mtree, quality, secrets, token_counts, toxicity
+from seriloom.functions.storage import fresh_path
+from seriloom.llm import bpe, language, minhash, mixing, mtree, quality, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +92,15 @@ def op7(spark, sf_dir):
 @query("op8_language")
 def op8(spark, sf_dir):
     return language.predict(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc", warc.SQL)
+def op9(spark, sf_dir):
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.captures(warc.read_archives(spark, path, with_payload=False)))
+
+
+@query("op10_mixing", mixing.sql())
+def op10(spark, sf_dir):
+    return mixing.schedule(table(spark, sf_dir, "documents"))
