@@ -67,8 +67,9 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity)."""
+def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, whole: bool = False) -> DataFrame:
+    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity), or all
+    columns of ``docs`` in one struct ``row`` in place of doc_id."""
     sent = spark.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -88,16 +89,18 @@ def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model) -> D
             ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column(first),
                     batch.column("lang"),
                     *[pa.array(c.astype(np.int64)) for c in counts],
                     pa.array(-sums_between(logs[0][codes], starts) / total),
                 ],
-                ["doc_id", "lang", *names, "log_perplexity"],
+                [first, "lang", *names, "log_perplexity"],
             )
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
+    first = "row" if whole else "doc_id"
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long")
+    given = docs.select(carried, F.col("lang").cast("string"), "text")
+    schema = f"{first} {given.schema[first].dataType.simpleString()}, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
     return given.mapInArrow(measure, schema)
 
 
@@ -118,18 +121,25 @@ def bands(measured: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_B
     return middle.join(spread, "lang").select("lang", F.col("m").alias("middle"), half.alias("half"))
 
 
-def judge(
-    spark: SparkSession, docs: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND
-) -> DataFrame:
-    """The measures of every row of ``docs(doc_id, lang, text)`` with base_failed and kept."""
+def verdicts(spark: SparkSession, docs: DataFrame, width: float, least: float, whole: bool) -> DataFrame:
     counts = kneser_ney.ngram_counts(docs.select("text", F.lit(0).alias("group")), fold_case=False)
     model = kneser_ney.fit(counts, fold_case=False)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    measured = cut_lineage(measures(spark, docs, model).withColumn("base_failed", failed))
-    limits = bands(measured.filter("NOT base_failed"), width, least).withColumnRenamed("lang", "of")
+    measured = cut_lineage(measures(spark, docs, model, whole).withColumn("base_failed", failed))
+    limits = cut_lineage(bands(measured.filter("NOT base_failed"), width, least).withColumnRenamed("lang", "of"))  # a known, small size
     joined = measured.join(limits, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
     wide = F.col("half") * (1 + F.sqrt(SHORT / F.greatest("n_words", F.lit(1))))
     inside = F.coalesce(F.abs(F.col("log_perplexity") - F.col("middle")) <= wide, F.lit(True))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity"
+    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def judge(spark: SparkSession, docs: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND) -> DataFrame:
+    """The measures of every row of ``docs(doc_id, lang, text)`` with base_failed and kept."""
+    return verdicts(spark, docs, width, least, False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"
     )
+
+
+def accepted(spark: SparkSession, docs: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return verdicts(spark, docs, width, least, True).filter("kept").select("row.*")
