@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece holds at most ``most`` bytes of ``column`` (or one row)."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = 1 << 30
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each piece holds at most ``most`` bytes of ``column`` (or one row) and ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,6 +27,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
         start, before = 0, 0
         while start < batch.num_rows:
             end = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+            end = min(end, start + rows)
             yield batch.slice(start, end - start)
             start, before = end, int(ends[end - 1])
 

@@ -16,7 +16,12 @@ components of the link graph are wanted, so a candidate pair inside one componen
 1. star rounds: each class of a bucket is tested against one class of it, another one each round;
 2. components of the links found so far; buckets whose classes all lie in one component are done;
 3. after ``star_rounds``, all untested pairs of a bucket whose ends lie in different components
-   (and whose set sizes allow a link) are tested, so no link between components is lost.
+   are tested, if set sizes and sketches allow a link, so no link between components is lost.
+
+Two bits of each of ``COORDINATES`` coordinates are kept for step 3: at similarity s a share of
+0.75 * (1 - s) of them differs, and a pair is passed over only where ``MARGIN`` standard deviations
+more than that of the threshold differ (a chance of 3e-6 for a pair at the threshold). A pair with several common bands is
+tested in the first one.
 
 Tests use full sets: the texts of both ends are joined to the pair and their sets intersected.
 
@@ -31,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
@@ -41,6 +46,9 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 48, 5
 STAR_ROUNDS = 3
+COORDINATES = 1024
+MARGIN = 4.5
+SKETCHED_AT_ONCE = 2048
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,11 +96,12 @@ def sketches(starts: np.ndarray, elements: np.ndarray, coordinates: int) -> np.n
         slot = owner * coordinates + at
         free = ~full[slot]
         settle(slot[free], mixed(v[free] + FOLD))
-        wanting = ~full.reshape(n, coordinates).all(axis=1)
-        kept = wanting[owner]
-        owner, elements = owner[kept], elements[kept]
-        if not len(owner):
-            break
+        if i < 4 or i % 16 == 0:  # elements of full sketches are done
+            wanting = ~full.reshape(n, coordinates).all(axis=1)
+            kept = wanting[owner]
+            owner, elements = owner[kept], elements[kept]
+            if not len(owner):
+                break
     return best.reshape(n, coordinates)
 
 
@@ -104,14 +113,35 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def packed_bits(sketch: np.ndarray) -> np.ndarray:
+    """The lowest two bits of each coordinate, 32 coordinates to an integer."""
+    low = np.stack([sketch & np.uint64(1), sketch >> np.uint64(1) & np.uint64(1)], axis=2).astype(np.uint8)
+    return np.packbits(low.reshape(len(sketch), -1), axis=1).view(np.int64)
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether so few coordinates differ in their two bits that the sets may be similar enough."""
+    share = (1 - percent / 100) * 0.75
+    most = COORDINATES * share + MARGIN * (COORDINATES * share * (1 - share)) ** 0.5
+
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x) <= most
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, bands): set size, a 128-bit digest of the set, band keys."""
+    """(doc_id, n_shingles, fp1, fp2, bands, bits): set size, a 128-bit digest of the set, band keys, sketch bits."""
+    if bands * rows > COORDINATES:
+        raise ValueError("bands need more coordinates than a sketch has")
 
     def sign(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", rows=SKETCHED_AT_ONCE):
             starts, elements = shingle_sets(batch.column("text"))
             sizes = np.diff(starts)
-            keys = band_keys(sketches(starts, elements, bands * rows), bands, rows)
+            sketch = sketches(starts, elements, COORDINATES)
+            keys = band_keys(sketch[:, : bands * rows], bands, rows)
             digests = []
             for k in (1, 2):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(elements + np.uint64(k)))])
@@ -123,12 +153,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                     pa.array(sizes, pa.int64()),
                     *map(pa.array, digests),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[sizes > 0].ravel().view(np.int64))),
+                    pa.array(list(packed_bits(sketch)), pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "fp1", "fp2", "bands"],
+                ["doc_id", "n_shingles", "fp1", "fp2", "bands", "bits"],
             )
 
     given = docs.select(F.col("doc_id").cast("long"), "text")
-    return given.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return given.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -173,10 +204,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_classes(buckets: DataFrame, texts: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
+def linked_classes(buckets: DataFrame, texts: DataFrame, sketched: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
     """(node, label) of the classes that have links; None if there are none.
 
-    ``buckets(key, node, n)`` has the buckets of two or more classes, ``texts`` their texts.
+    ``buckets(key, node, n)`` has the buckets of two or more classes, ``texts`` their texts and ``sketched``
+    (node, bits, bands) their sketches.
     """
     labels, tested = None, None
     for i in range(star_rounds + 1):
@@ -191,9 +223,11 @@ def linked_classes(buckets: DataFrame, texts: DataFrame, percent: int, star_roun
             centre = open_.groupBy("key").agg(F.min(order).alias("c"))
             ends = open_.join(centre, "key").select("node", "label", "n", F.col("c.node").alias("other"), F.col("c.label").alias("other_label"), F.col("c.n").alias("other_n"))
         else:
-            ends = open_.join(
-                open_.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n")), "key"
-            ).filter("node < other")
+            open_ = cut_lineage(open_.join(sketched, "node"))
+            renamed = {"node": "other", **{c: f"other_{c}" for c in ("label", "n", "bits", "bands")}}
+            others = open_.select("key", *[F.col(c).alias(x) for c, x in renamed.items()])
+            first_common = F.element_at(F.array_intersect("bands", "other_bands"), 1) == F.col("key")
+            ends = open_.join(others, "key").filter("node < other").filter(may_link("bits", "other_bits", percent) & first_common)
         fits = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
         pairs = ends.filter(F.col("label") != F.col("other_label")).filter(fits)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -235,8 +269,9 @@ def near_duplicates(
     signed = cut_lineage(signatures(docs, bands, rows))
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     same_set = ["n_shingles", "fp1", "fp2"]
-    classes = named.groupBy(*same_set).agg(F.min("doc_id").alias("node"))
-    member = cut_lineage(named.select("doc_id", *same_set).join(classes, same_set).select("doc_id", "n_shingles", "node"))
+    classes = cut_lineage(named.groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    joined = named.select("doc_id", *same_set).join(classes, same_set, "left")
+    member = cut_lineage(joined.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")))
 
     chosen = member.filter("doc_id = node").select("doc_id").distinct()
     keys = named.join(chosen, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
@@ -246,7 +281,8 @@ def near_duplicates(
     given = docs.select(F.col("doc_id").cast("long"), "text")
     texts = cut_lineage(given.join(candidates, "doc_id", "left_semi"))
 
-    labels = linked_classes(buckets, texts, percent, star_rounds)
+    sketched = named.join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bits", "bands").distinct()
+    labels = linked_classes(buckets, texts, sketched, percent, star_rounds)
     found = member.withColumn("label", F.col("node"))
     if labels is not None:
         found = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
