@@ -40,19 +40,20 @@ def events_of(words: list[str], order: int, fold_case: bool = True) -> tuple[np.
     text = text.lower() if fold_case else text
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     ends = np.flatnonzero(points == 10)
-    word = np.searchsorted(ends, np.arange(len(points)))
+    word = np.cumsum(points == 10) - (points == 10)
     at = np.arange(len(points)) + (order - 1) * (word + 1)
     symbols = np.full(len(points) + (order - 1) * len(ends), START, np.uint64)
     symbols[at] = np.where(points == 10, END, points + 3).astype(np.uint64)
     return symbols, at
 
 
-def slots_of(symbols: np.ndarray, at: np.ndarray, length: int, bits: int, back: int = 0) -> np.ndarray:
-    """Hash of the ``length`` symbols that end ``back`` before each position."""
-    h = np.full(len(at), length + 1, np.uint64)
-    for j in range(length):
-        h = h * FOLD + symbols[at - back - j]
-    return (mixed(h) >> np.uint64(64 - bits)).astype(np.int64) if length else np.zeros(len(at), np.int64)
+def slots_of(symbols: np.ndarray, at: np.ndarray, longest: int, bits: int, back: int = 0) -> list[np.ndarray]:
+    """For lengths 0 to ``longest``: hashes of the symbols that end ``back`` before each position."""
+    h, out = np.zeros(len(at), np.uint64), [np.zeros(len(at), np.int64)]
+    for j in range(longest):
+        h = h * FOLD + symbols[at - (back + j)]
+        out.append((mixed(h + np.uint64(j + 1)) >> np.uint64(64 - bits)).astype(np.int64))
+    return out
 
 
 def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS, fold_case: bool = True) -> DataFrame:
@@ -70,22 +71,23 @@ def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int
             lengths = np.diff(np.concatenate([[-1], ends]))
             used = np.stack([np.bincount(codes[group == g], minlength=len(words)) for g in range(groups)])
             weight = np.repeat(used, lengths, axis=1)
+            slots, contexts = slots_of(symbols, at, order, bits), slots_of(symbols, at, order - 1, bits, 1)
             for k in range(1, order + 1):
-                slot = slots_of(symbols, at, k, bits)
-                first, inverse = np.unique(slot, return_index=True, return_inverse=True)[1:]
-                sums = [np.bincount(inverse, w, minlength=len(first)).astype(np.int64) for w in weight]
-                where = at[first]
+                slot = slots[k]
+                found = np.flatnonzero(np.bincount(slot, minlength=1 << bits))
+                least = []
+                for other in (contexts[k - 1], slots[k - 1]):
+                    low = np.full(1 << bits, 1 << bits, np.int32)
+                    np.minimum.at(low, slot, other.astype(np.int32))
+                    least.append(low[found])
+                opening = np.zeros(1 << bits, bool)
+                opening[slot[symbols[at - k + 1] == START]] = True
+                sums = [np.bincount(slot, w, minlength=1 << bits)[found].astype(np.int64) for w in weight]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(first), k), pa.int32()),
-                        pa.array(slot[first], pa.int32()),
-                        pa.array(slots_of(symbols, where, k - 1, bits, 1), pa.int32()),
-                        pa.array(slots_of(symbols, where, k - 1, bits), pa.int32()),
-                        pa.array(symbols[where - k + 1] == START),
-                        *map(pa.array, sums),
-                    ],
+                    [pa.array(np.full(len(found), k), pa.int32()), pa.array(found, pa.int32()), *map(pa.array, least), pa.array(opening[found]), *map(pa.array, sums)],
                     names,
                 )
+        pa.default_memory_pool().release_unused()
 
     counts = [f"c{g}" for g in range(groups)]
     names = ["k", "slot", "context", "tail", "opening", *counts]
@@ -157,16 +159,18 @@ class Model:
         symbols, at = events_of(words, self.order, self.fold_case)
         ends = np.flatnonzero(symbols[at] == END)
         starts = np.concatenate([[0], ends[:-1] + 1])
+        slots, contexts = slots_of(symbols, at, self.order, self.bits), slots_of(symbols, at, self.order - 1, self.bits, 1)
+
+        def refined(lower, kind, i, k):
+            probs, left = self._table(kind, i)
+            return probs[slots[k]] + left[contexts[k - 1]] * lower
+
         p = np.full(len(at), self.uniform)
         for k in range(1, self.order):
-            p = self._mixed(p, self._table("shared", k - 1), symbols, at, k)
-        logs = [np.log(self._mixed(p, self._table("top", g), symbols, at, self.order)) for g in range(len(self.top))]
+            p = refined(p, "shared", k - 1, k)
+        logs = [np.log(refined(p, "top", g, self.order)) for g in range(len(self.top))]
         return ends + 1 - starts, np.stack([np.add.reduceat(x, starts) for x in logs])
 
-    def _mixed(self, lower, table, symbols, at, k):
-        probs, left = table
-        return probs[slots_of(symbols, at, k, self.bits)] + left[slots_of(symbols, at, k - 1, self.bits, 1)] * lower
-
 
 def fit(counts: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS, fold_case: bool = True) -> Model:
     """The model of ``ngram_counts``; lower orders are shared by all groups."""

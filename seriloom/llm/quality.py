@@ -33,6 +33,7 @@ WIDTH = 6.0
 LEAST_HALF_BAND = 0.1
 SHORT = 25
 BINS = 200  # of a unit of log-perplexity
+MEASURED_BYTES = 4 << 20
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -74,7 +75,7 @@ def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, whol
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def measure(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", MEASURED_BYTES):
             texts = filled(batch.column("text"))
             starts, codes, words = words_of(texts)
             events, logs = sent.value.word_scores(words.to_pylist())
@@ -96,6 +97,7 @@ def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, whol
                 ],
                 [first, "lang", *names, "log_perplexity"],
             )
+        pa.default_memory_pool().release_unused()
 
     first = "row" if whole else "doc_id"
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long")

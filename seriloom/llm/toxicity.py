@@ -29,6 +29,7 @@ from seriloom.llm.batches import slices, sums_between, words_of
 
 RUN = 8
 CALIBRATION_ROWS = 20_000
+MEASURED_BYTES = 4 << 20
 FEATURES = ["whole", "run", "word", "excess"]
 
 
@@ -41,7 +42,7 @@ def evidence(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, run:
     sent = spark.sparkContext.broadcast(model)
 
     def weigh(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", MEASURED_BYTES):
             starts, codes, words = words_of(batch.column("text"))
             events, logs = sent.value.word_scores(words.to_pylist())
             gain = (logs[1] - logs[0])[codes]
