@@ -86,7 +86,9 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, calibration_r
     known = known.agg(F.max((F.col("toxic") > 0).cast("int")).alias("group"))
     fold = remainder(F.col("doc_id"), 5)
     shown = docs.select(F.col("doc_id").cast("long"), "text").filter(fold.between(1, 3))
-    model = kneser_ney.fit(kneser_ney.ngram_counts(shown.join(known.filter(fold.between(1, 3)), "doc_id"), 2), 2)
+    # labels grow with the documents, so they are never broadcast
+    learnt = shown.join(known.filter(fold.between(1, 3)).hint("merge"), "doc_id")
+    model = kneser_ney.fit(kneser_ney.ngram_counts(learnt, 2), 2)
 
     weighed = cut_lineage(evidence(spark, docs, model))
     sample = weighed.join(known.filter(fold == 4), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
