@@ -9,7 +9,7 @@ from seriloom.functions import fixed_values as fv
 from seriloom.operators import forecast as fc
 from seriloom.operators import series as se
 
-N_PATHS = 500
+N_PATHS = fv.N_PATHS
 H = fv.HORIZON
 L7, L9 = level_list(fv.LEVELS_7), level_list(fv.LEVELS_9)
 

@@ -30,9 +30,11 @@ def sql(body: str, *deps: str) -> str:
 
 
 def R(expr: str, name: str | None = None, places: int = 6) -> str:
-    """Rounded double without negative zero; published figures round half to even."""
-    how = "round" if places == 6 else "round_even"
-    out = f"({how}(CAST({expr} AS DOUBLE), {places}) + 0.0)"
+    """Rounded double without negative zero; published figures are the exact binary value written out."""
+    value = f"CAST({expr} AS DOUBLE)"
+    out = f"(round({value}, {places}) + 0.0)"
+    if places != 6:
+        out = f"(CAST(format('{{:.{places}f}}', {value}) AS DOUBLE) + 0.0)"
     return f"{out} AS {name}" if name else out
 
 

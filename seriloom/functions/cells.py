@@ -25,14 +25,24 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def rounded(value: Column | str, places: int) -> Column:
-    """Scaled half-to-even rounding, the array rounding that published figures go through.
+    """The binary value rounded to decimal places, exact halves to even: what Python's ``round`` gives.
 
-    Spark's own ``round`` works on the shortest decimal text and would turn 1.275 (which is stored
-    slightly below) into 1.28.
+    2.675 is stored slightly below and becomes 2.67. Scaling alone would round the product to a half
+    first, so the product's own error (by splitting both factors into halves of their bits) decides ties.
     """
-    c = F.col(value) if isinstance(value, str) else value
-    scale = F.lit(float(10**places))
-    return F.rint(c * scale) / scale
+    c = (F.col(value) if isinstance(value, str) else value).cast("double")
+    scale = float(10**places)
+    split = 134217729.0  # 2 ** 27 + 1
+    scale_high = split * scale - (split * scale - scale)
+    scale_low = scale - scale_high
+    high = c * split - (c * split - c)
+    low = c - high
+    product = c * scale
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    whole = F.floor(product).cast("double")
+    over = (product - whole - 0.5) + error
+    up = (over > 0) | ((over == 0) & (whole % 2 != 0))
+    return F.when(F.abs(product) < 2.0**52, (whole + up.cast("double")) / scale).otherwise(c)
 
 
 def share(cond: Column) -> Column:

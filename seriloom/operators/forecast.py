@@ -127,19 +127,18 @@ def draw_seed(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    # integer finaliser on 32 bits: two rounds of shift-xor-multiply and a last shift-xor
-    mask = np.uint64(0xFFFFFFFF)
-    for _ in range(2):
-        x = ((x >> np.uint64(16)) ^ x) * np.uint64(0x45D9F3B) & mask
-    return (x >> np.uint64(16)) ^ x
-
-
 def _walk_udf(levels: list[float], horizon: int, n_paths: int):
     path_part = np.arange(1, n_paths + 1, dtype=np.uint64) * np.uint64(0x9E3779B1)
     step_part = np.arange(1, horizon + 1, dtype=np.uint64) * np.uint64(0x85EBCA77)
     grid = path_part[:, None] + step_part[None, :]
 
+    def mixed(x):
+        # integer finaliser on 32 bits: two rounds of shift-xor-multiply and a last shift-xor
+        mask = np.uint64(0xFFFFFFFF)
+        for _ in range(2):
+            x = ((x >> np.uint64(16)) ^ x) * np.uint64(0x45D9F3B) & mask
+        return (x >> np.uint64(16)) ^ x
+
     @F.pandas_udf("array<array<double>>")
     def walk(last: pd.Series, pool: pd.Series, seed: pd.Series) -> pd.Series:
         out = []
@@ -148,14 +147,15 @@ def _walk_udf(levels: list[float], horizon: int, n_paths: int):
                 out.append(None)
                 continue
             d = np.asarray(d, dtype=float)
-            pick = _mixed((grid + np.uint64(s)) & np.uint64(0xFFFFFFFF)) % np.uint64(len(d))
+            pick = mixed((grid + np.uint64(s)) & np.uint64(0xFFFFFFFF)) % np.uint64(len(d))
             ends = np.maximum(v + np.cumsum(d[pick.astype(np.int64)], axis=1), 0.0)
             q = np.quantile(ends, levels, axis=0).T
             q[0] = np.quantile(np.maximum(v + d, 0.0), levels)  # one step is exact
             out.append(q.tolist())
         return pd.Series(out, dtype=object)
 
-    return walk
+    # the optimizer must neither copy the simulation nor move it below the repartition
+    return walk.asNondeterministic()
 
 
 def random_walk_quantiles(

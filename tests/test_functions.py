@@ -72,4 +72,19 @@ def test_pool_quantiles_match_numpy(spark):
 def test_published_rounding(spark):
     xs = [1.275, 0.125, 2.675, 1.005, -1.275, 12.345678, 0.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", rounded("x", 2).alias("r"))
-    assert {r.x: r.r for r in df.collect()} == {x: float(np.round(x, 2)) for x in xs}
+    assert {r.x: r.r for r in df.collect()} == {x: round(x, 2) for x in xs}
+
+
+def test_rounded_works_on_the_exact_binary_value(spark):
+    import random
+
+    from seriloom.functions.cells import rounded
+
+    random.seed(5)
+    values = [2.675, 1.275, 0.125, 0.375, -2.675, -0.125, 1e17, 0.0, 1.005, 2.5, 3.5, 1e-9]
+    values += [random.randint(-10**6, 10**6) / 1000 + 0.0005 for _ in range(500)] + [random.gauss(0, 100) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2, 3, 4):
+        got = [r.x for r in rows.select("v", rounded("v", places).alias("x")).collect()]
+        assert got == [round(v, places) + 0.0 for v in values]
+    assert rows.select(rounded(F.lit(None).cast("double"), 2).alias("x")).first().x is None
