@@ -151,13 +151,14 @@ def schedule(
     return placed.filter(due).select(key, "source", "epoch", "tokens", "start", block.cast("long").alias("stream_block"))
 
 
-def mixed_rows(docs: DataFrame, key: str = "_row", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as ``schedule`` serves it; all columns stay as they are."""
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in docs.columns]
-    keyed = docs.withColumn(key, F.md5(F.concat_ws("\x1f", *parts)))
-    times = schedule(keyed, key, **options).groupBy(key).agg(F.count("*").alias("_times"))
-    once = keyed.dropDuplicates([key]).join(times, key)
-    return once.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]))
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), "source", "text")
+    times = schedule(rows, "key", **options).groupBy("key").agg(F.count("*").alias("times"))
+    once = rows.select("row", "key").dropDuplicates(["key"]).join(times, "key")
+    return once.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def sql(entropy: float = ENTROPY, repetition: float = REPETITION, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> str:
