@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
 
-PAGE = 64
+PAGE = 512
 MOST_PIVOTS = 256
 SHARD_ROWS = 50_000
 ROWS_PER_PIVOT = 8_000
@@ -167,6 +167,12 @@ def search_tree(
             near = np.abs(tree["entry_distance"][span] - distance) <= limit()
             rows = tree["entry"][span][near]
             scores = vectors[rows] @ query
+            if len(best) == k:
+                better = scores >= best[0][0]
+                rows, scores = rows[better], scores[better]
+            elif len(rows) > 2 * k:  # the page's own best k, one of them may be the query, and their ties
+                better = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                rows, scores = rows[better], scores[better]
             for score, i in zip(scores.tolist(), ids[rows].tolist()):
                 if i == own_id:
                     continue
