@@ -18,7 +18,7 @@ components of the link graph are wanted, so a candidate pair inside one componen
 3. after ``star_rounds``, all untested pairs of a bucket whose ends lie in different components
    are tested, if set sizes and sketches allow a link, so no link between components is lost.
 
-Two bits of each of ``COORDINATES`` coordinates are kept for step 3: at similarity s a share of
+Two bits of each of ``COORDINATES`` coordinates are kept to spare tests: at similarity s a share of
 0.75 * (1 - s) of them differs, and a pair is passed over only where ``MARGIN`` standard deviations
 more than that of the threshold differ (a chance of 3e-6 for a pair at the threshold). A pair with several common bands is
 tested in the first one.
@@ -218,6 +218,8 @@ def linked_classes(buckets: DataFrame, texts: DataFrame, sketched: DataFrame, pe
             named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             mixed_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
             open_ = cut_lineage(named.join(mixed_keys, "key"))
+        if open_.limit(1).count() == 0:
+            break
         if i < star_rounds:
             order = F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "label", "n")
             centre = open_.groupBy("key").agg(F.min(order).alias("c"))
@@ -234,11 +236,13 @@ def linked_classes(buckets: DataFrame, texts: DataFrame, sketched: DataFrame, pe
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
+        if i < star_rounds:
+            tested = pairs if tested is None else tested.union(pairs)
+            for end in ("a", "b"):
+                pairs = pairs.join(sketched.select(F.col("node").alias(end), F.col("bits").alias(f"bits_{end}")), end)
+            pairs = cut_lineage(pairs.filter(may_link("bits_a", "bits_b", percent)).select("a", "b"))
         if pairs.limit(1).count() == 0:
-            if labels is None or i == star_rounds:
-                break
             continue
-        tested = pairs if tested is None else tested.union(pairs)
         links = cut_lineage(confirmed(pairs, texts, percent))
         if links.limit(1).count() == 0:
             continue
@@ -281,7 +285,7 @@ def near_duplicates(
     given = docs.select(F.col("doc_id").cast("long"), "text")
     texts = cut_lineage(given.join(candidates, "doc_id", "left_semi"))
 
-    sketched = named.join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bits", "bands").distinct()
+    sketched = cut_lineage(named.join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bits", "bands").distinct())
     labels = linked_classes(buckets, texts, sketched, percent, star_rounds)
     found = member.withColumn("label", F.col("node"))
     if labels is not None:
