@@ -6,6 +6,7 @@ task's memory is bounded by ``SLICE_BYTES`` of text or one document, whichever i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,15 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused worker keeps none of an earlier task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = 1 << 30
 ) -> Iterator[pa.RecordBatch]:
@@ -30,6 +40,7 @@ def slices(
             end = min(end, start + rows)
             yield batch.slice(start, end - start)
             start, before = end, int(ends[end - 1])
+            give_back()
 
 
 def filled(texts: pa.Array) -> pa.Array:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriloom.llm.batches import filled, hashes_of, slices, without_empty
+from seriloom.llm.batches import filled, give_back, hashes_of, slices, without_empty
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -162,6 +162,8 @@ def encode_units(units: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame
                 flat = np.fromiter((i for ids in found for i in ids), np.int64)
                 done = (row["block"], of, row["digest"], [len(found), len(flat)], packed(np.array([len(x) for x in found])), packed(flat))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, done))], schema)
+        known.clear()
+        give_back()
 
     names = ["block", "bucket", "digest", "n", "lengths", "ids"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()])))
@@ -192,6 +194,8 @@ def put_in_place(_key, rows, dictionary):
     at += np.arange(len(at), dtype=np.int32)
     starts = np.concatenate([[0], np.cumsum(unpacked(row["lengths"], len(row["doc_ids"])))])
     lists = pa.ListArray.from_arrays(pa.array(ends[starts], pa.int32()), pa.array(ids[at].astype(np.int32)))
+    del at, long, ends, codes, ids
+    give_back()
     return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": lists})
 
 

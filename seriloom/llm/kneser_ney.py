@@ -36,7 +36,7 @@ START, END = 1, 2  # symbols; letters are code points + 3
 
 def events_of(words: list[str], order: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(symbols with padding, position of each event); words must hold no line end."""
-    text = "\n".join(words) + "\n"
+    text = "".join(f"{w}\n" for w in words)
     text = text.lower() if fold_case else text
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     ends = np.flatnonzero(points == 10)
@@ -87,7 +87,6 @@ def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int
                     [pa.array(np.full(len(found), k), pa.int32()), pa.array(found, pa.int32()), *map(pa.array, least), pa.array(opening[found]), *map(pa.array, sums)],
                     names,
                 )
-        pa.default_memory_pool().release_unused()
 
     counts = [f"c{g}" for g in range(groups)]
     names = ["k", "slot", "context", "tail", "opening", *counts]

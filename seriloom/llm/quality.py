@@ -97,7 +97,6 @@ def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, whol
                 ],
                 [first, "lang", *names, "log_perplexity"],
             )
-        pa.default_memory_pool().release_unused()
 
     first = "row" if whole else "doc_id"
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long")
