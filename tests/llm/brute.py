@@ -55,7 +55,7 @@ def base_quality(text):
     text = text or ""
     words = WORD.findall(text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    often = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else {w for w in windows if w in _twice(windows)}
+    often = _twice(windows)
     covered = {i + k for i, w in enumerate(windows) if w in often for k in range(8)}
     seen, repeated = set(), 0
     for line in text.split("\n"):

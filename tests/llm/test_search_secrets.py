@@ -117,7 +117,7 @@ def test_structures_are_confirmed():
 
 
 def test_look_alikes_are_not():
-    broken = KEY[:5] + bytes([KEY[5] ^ 0x41]) + KEY[6:]
+    broken = KEY[:4] + bytes([KEY[4] ^ 0x41]) + KEY[5:]  # a length inside
     for data in (broken, KEY[:-1], KEY + b"\x00", bytes(100)):
         assert not secrets.is_der_key(data)
     assert not secrets.is_ssh_key(SSH[:-1]) and not secrets.is_ssh_key(b"")
