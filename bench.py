@@ -36,6 +36,13 @@ HEADLINE = [
     "type_aware_baseline",
     "status_map",
     "activity_score",
+    "overall_summary",
+    "covariate_gate",
+    "wis_23",
+    "sample_covariates",
+    "series_points",
+    "country_list",
+    "read_partitioned_rounds",
 ]
 
 

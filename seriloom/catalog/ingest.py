@@ -208,10 +208,11 @@ def write_nested_json(spark, d):
 @query(
     "write_samples",
     sql(
-        f"""SELECT series_id, {B("w.part", "end_ctx")}, CAST(104 AS BIGINT) AS n_context,
-            (SELECT {R("sum(c.value)")} FROM weekly c WHERE c.series_id = w.series_id AND c.idx >= w.part - 104 AND c.idx < w.part) AS context_sum
-        FROM (SELECT series_id, unnest(range(104, n - 52 - 4 + 1, 4)) AS part FROM (SELECT series_id, count(*) AS n FROM weekly GROUP BY 1) WHERE n >= 160) w
-        WHERE EXISTS (SELECT 1 FROM weekly c WHERE c.series_id = w.series_id AND c.idx >= w.part AND c.idx < w.part + 4 AND c.value IS NOT NULL)""",
+        f"""SELECT series_id, part, {B("w.at", "end_ctx")}, CAST(104 AS BIGINT) AS n_context,
+            (SELECT {R("coalesce(sum(c.value), 0)")} FROM weekly c WHERE c.series_id = w.series_id AND c.idx >= w.at - 104 AND c.idx < w.at) AS context_sum
+        FROM (SELECT series_id, 'train' AS part, unnest(range(104, n - 52 - 4 + 1, 4)) AS at FROM (SELECT series_id, count(*) AS n FROM weekly GROUP BY 1) WHERE n >= 160
+            UNION ALL SELECT series_id, 'val', unnest(range(n - 52, n - 4 + 1, 4)) FROM (SELECT series_id, count(*) AS n FROM weekly GROUP BY 1) WHERE n >= 160) w
+        WHERE EXISTS (SELECT 1 FROM weekly c WHERE c.series_id = w.series_id AND c.idx >= w.at AND c.idx < w.at + 4 AND c.value IS NOT NULL)""",
         "weekly",
     ),
 )
@@ -220,9 +221,9 @@ def write_samples(spark, d):
     windows = sc.build_windows(weekly, context=104, held_out=52)
     path = fresh_path(spark, "samples")
     sf.write_samples(windows, path)
-    back = spark.read.parquet(path).filter("part = 'train'")
+    back = spark.read.parquet(path)
     total = F.aggregate("target", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return back.select("series_id", "end_ctx", F.size("target").alias("n_context"), total.alias("context_sum"))
+    return back.select("series_id", "part", "end_ctx", F.size("target").alias("n_context"), total.alias("context_sum"))
 
 
 # --- filters, projections, entity resolution ----------------------------------------------

@@ -110,12 +110,12 @@ FLAT = (
 
 @query("train_windows", sql(f"SELECT {FLAT} FROM windows WHERE part = 'train'", "windows"))
 def train_windows(spark, d):
-    return _flat(sc.build_windows(tt.weekly(spark, d), **SIZES).filter("part = 'train'"))
+    return _flat(sc.build_windows(tt.weekly(spark, d), part="train", **SIZES))
 
 
 @query("val_windows", sql(f"SELECT {FLAT} FROM windows WHERE part = 'val'", "windows"))
 def val_windows(spark, d):
-    return _flat(sc.build_windows(tt.weekly(spark, d), **SIZES).filter("part = 'val'"))
+    return _flat(sc.build_windows(tt.weekly(spark, d), part="val", **SIZES))
 
 
 @query(

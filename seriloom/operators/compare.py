@@ -317,7 +317,9 @@ def experiment_grid(spark: SparkSession, covariates: list[str] | None = None) ->
 METRICS = ["relative_wis", "wis", "coverage_50", "coverage_95", "mae", "mape_pct"]
 
 
-def experiment_rollup(grid: DataFrame, results: DataFrame, horizon_results: DataFrame | None = None) -> DataFrame:
+def experiment_rollup(
+    grid: DataFrame, results: DataFrame, horizon_results: DataFrame | None = None, horizons: int = fv.HORIZON
+) -> DataFrame:
     """Mean of each metric over series per experiment; experiments without results keep a row.
 
     ``results`` is (exp_id, series_id, metrics...), ``horizon_results`` (exp_id, series_id, h, rwis).
@@ -328,7 +330,7 @@ def experiment_rollup(grid: DataFrame, results: DataFrame, horizon_results: Data
     out = grid.join(g, "exp_id", "left")
     if horizon_results is not None:
         h = horizon_results.groupBy("exp_id").agg(
-            *[F.avg(F.when(F.col("h") == i, F.col("rwis"))).alias(f"mean_rwis_h{i}") for i in range(1, 5)]
+            *[F.avg(F.when(F.col("h") == i, F.col("rwis"))).alias(f"mean_rwis_h{i}") for i in range(1, horizons + 1)]
         )
         out = out.join(h, "exp_id", "left")
     return out

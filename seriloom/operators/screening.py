@@ -137,14 +137,17 @@ def build_windows(
     stride: int = fv.STRIDE_WEEKS,
     held_out: int = fv.HELD_OUT_WEEKS,
     future_known: list[str] | None = None,
+    part: str | None = None,
 ) -> DataFrame:
-    """Training and validation windows of every usable series.
+    """Training and validation windows of every usable series, or those of one ``part`` ("train", "val").
 
     (series_id, part, end_ctx, target, future, past_covariates, future_covariates, repeats):
     ``target`` holds the context, as training expects, and ``future`` the values to predict.
     Windows whose future is entirely missing are skipped. ``repeats`` carries the recency and
     peak weights; ``oversample`` turns it into copies.
     """
+    if part not in (None, "train", "val"):
+        raise ValueError("part must be 'train', 'val' or None")
     covs = covariates or []
     known = fv.FUTURE_KNOWN if future_known is None else future_known
     arrays = _series_arrays(weekly, covs).filter(F.col("n") >= context + target + held_out)
@@ -172,16 +175,7 @@ def build_windows(
         ends(F.col("train_end"), F.col("n") - target),
         lambda e: F.struct(F.lit("val").alias("part"), e.alias("end_ctx")),
     )
-    windows = facts.withColumn("w", F.explode(F.concat(train, valid))).withColumns(
-        {"part": F.col("w.part"), "end_ctx": F.col("w.end_ctx")}
-    )
-    start = F.greatest(F.lit(0), F.col("end_ctx") - context)
-
-    def past(name: str) -> Column:
-        return F.slice(name, start + 1, F.col("end_ctx") - start)
-
-    def ahead(name: str) -> Column:
-        return F.slice(name, F.col("end_ctx") + 1, F.lit(target))
+    wanted = {"train": train, "val": valid}.get(part, F.concat(train, valid))
 
     def as_map(names: list[str], cut) -> Column:
         if not names:
@@ -191,29 +185,33 @@ def build_windows(
             F.array(*[cut(f"a_{c}").cast("array<double>") for c in names]),
         )
 
-    age = recency_repeats(
-        F.element_at("a_week", F.col("end_ctx")), F.element_at("a_week", F.col("train_end"))
-    )
-    # array_max skips NULLs, so a half-missing future is judged on what it has
-    is_peak = F.array_max("future") > F.col("peak")
-    repeats = F.when(F.col("part") == "val", 1).otherwise(
-        age * F.when(is_peak, fv.PEAK_REPEAT).otherwise(1)
-    )
-    return (
-        windows.withColumn("future", ahead("a_value"))
-        .filter(F.exists("future", lambda v: v.isNotNull()))
-        .select(
-            "series_id",
-            "part",
-            "end_ctx",
+    def window(w: Column) -> Column:
+        end = w["end_ctx"]
+        start = F.greatest(F.lit(0), end - context)
+
+        def past(name: str) -> Column:
+            return F.slice(name, start + 1, end - start)
+
+        def ahead(name: str) -> Column:
+            return F.slice(name, end + 1, F.lit(target))
+
+        age = recency_repeats(F.element_at("a_week", end), F.element_at("a_week", F.col("train_end")))
+        # array_max skips NULLs, so a half-missing future is judged on what it has
+        is_peak = F.array_max(ahead("a_value")) > F.col("peak")
+        repeats = F.when(w["part"] == "val", 1).otherwise(age * F.when(is_peak, fv.PEAK_REPEAT).otherwise(1))
+        return F.struct(
+            w["part"].alias("part"),
+            end.alias("end_ctx"),
             past("a_value").alias("target"),
-            "future",
+            ahead("a_value").alias("future"),
             as_map(covs, past).alias("past_covariates"),
             as_map([c for c in covs if c in known], ahead).alias("future_covariates"),
             repeats.alias("repeats"),
-            "peak",
         )
-    )
+
+    # windows are cut before they are exploded, so no window row carries a whole series
+    cut = facts.select("series_id", "peak", F.explode(F.transform(wanted, window)).alias("w"))
+    return cut.filter(F.exists("w.future", lambda v: v.isNotNull())).select("series_id", "w.*", "peak")
 
 
 def oversample(windows: DataFrame) -> DataFrame:

@@ -231,3 +231,33 @@ def test_steps_without_a_baseline_are_still_scored(weekly_of):
     assert pts.filter("random_walk IS NOT NULL").count() == 0
     scores = so.score_horizons(pts, "seasonal_naive", "random_walk").collect()
     assert scores and all(r.baseline_wis is None for r in scores)
+
+
+def test_walk_is_simulated_once_and_after_the_repartition(spark, weekly_of):
+    w = fc.with_threshold(weekly_of(a=[float(3 + i % 7) for i in range(80)]))
+    long = fc.long_quantiles(fc.random_walk_quantiles(fc.rolling_points(w), n_paths=20), "random_walk")
+    lines = long._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [i for i, x in enumerate(lines) if "ArrowEvalPython" in x]
+    assert len(at) == 1
+    assert any("Repartition" in x for x in lines[at[0] :])
+
+
+def test_walk_runs_where_the_package_cannot_be_imported(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from seriloom.operators import forecast as fc
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+points = spark.createDataFrame([("a", 5, 3.0, [1.0, -1.0, 2.0, 0.5])], "series_id string, cutoff int, last_value double, pool array<double>")
+print("WALKED", len(fc.random_walk_quantiles(points, n_paths=10).first().random_walk))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "WALKED 4" in done.stdout, done.stderr[-1500:]

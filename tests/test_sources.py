@@ -109,6 +109,19 @@ def test_shared_folder_is_taken_from_the_session(spark):
                 return "hdfs://shared/ckpt" if key == "spark.checkpoint.dir" else default
 
     assert shared_folder(Named()) == "hdfs://shared/ckpt"
+
+    class Unset:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Unset())
     assert shared_folder(spark) == shared_folder(spark)  # unset here: one folder of our own
     kept = cut_lineage(spark.range(3))
     assert kept.count() == 3 and kept.inputFiles()[0].removeprefix("file://").startswith(shared_folder(spark))

@@ -94,3 +94,26 @@ def test_seasonal_gaps(spark):
         rows.append(("random_gap", d, i, None if i % 2 else 5.0))
     w = spark.createDataFrame(rows, "series_id string, week date, idx int, value double")
     assert {r.series_id: r.pattern for r in sc.nan_pattern(w).collect()} == {"summer_gap": "seasonal", "random_gap": "sporadic"}
+
+
+def test_training_takes_all_five_covariates(spark):
+    from datetime import date, timedelta
+
+    from seriloom.plans.training import prepare_training
+
+    days = [date(1995, 1, 1) + timedelta(days=7 * i) for i in range(400)]
+    rows = [(s, d, 50.0 + (i * k) % 23, 1) for k, s in enumerate(("a", "b"), 1) for i, d in enumerate(days)]
+    series = spark.createDataFrame(rows, "series_id string, obs_date date, cases double, data_type int")
+    latitudes = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "series_id string, hemisphere double")
+    weather = spark.createDataFrame([(s, d, float(i)) for s in ("a", "b") for i, d in enumerate(days)], "series_id string, week date, temp_mean double")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "nowhere", 1)], "src string, dst string, rank int")
+    names = ["data_type", "hemisphere", "week_of_year", "weather", "neighbors"]
+    made = prepare_training(series, covariates=names, latitudes=latitudes, weather=weather, neighbors=edges)
+    row = made.windows.filter("series_id = 'a' AND part = 'train'").first()
+    assert {"data_type_indicator", "hemisphere", "week_sin", "week_cos", "temp_mean", "neighbor_1"} <= set(row.past_covariates)
+    assert any(v is not None for v in row.past_covariates["neighbor_1"]) and any(v is not None for v in row.past_covariates["temp_mean"])
+    lone = made.windows.filter("series_id = 'b' AND part = 'train'").first()
+    assert all(v is None for v in lone.past_covariates["neighbor_1"])
+    for bad in (["wether"], ["weather"], ["neighbors"]):
+        with pytest.raises(ValueError):
+            prepare_training(series, covariates=bad)
