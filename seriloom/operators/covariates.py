@@ -129,20 +129,21 @@ def align_check(weekly: DataFrame, covariates: DataFrame, features: list[str]) -
 def weather_coverage(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Best cached range per request: the exact range, else the first range that contains it.
 
-    The equi-join on location is pre-aggregated on the cache side (distinct ranges only), and the
-    choice is a two-phase minimum over a struct.
+    Both sides of the equi-join on location are distinct ranges, whatever the number of series that ask
+    for one, and the choice is a two-phase minimum over a struct.
     """
     r = requests.select("series_id", "location", "start", "end")
+    asked = r.select("location", "start", "end").distinct()
     c = cache.select("location", F.col("start").alias("c_start"), F.col("end").alias("c_end")).distinct()
     inside = (F.col("c_start") <= F.col("start")) & (F.col("c_end") >= F.col("end"))
     exact = (F.col("c_start") == F.col("start")) & (F.col("c_end") == F.col("end"))
     best = (
-        r.join(c, "location")
+        asked.join(c, "location")
         .filter(inside)
-        .groupBy("series_id", "location", "start", "end")
+        .groupBy("location", "start", "end")
         .agg(F.min(F.struct((~exact).alias("not_exact"), "c_start", "c_end")).alias("m"))
     )
-    return r.join(best, ["series_id", "location", "start", "end"], "left").select(
+    return r.join(best, ["location", "start", "end"], "left").select(
         "series_id",
         "location",
         "start",

@@ -280,7 +280,7 @@ def forecast_layout(
 ) -> DataFrame:
     """Context rows, then forecast rows: (series_id, time, context, mean_forecast, q array).
 
-    ``mean_forecast`` is the median of the quantile forecast.
+    ``mean_forecast`` is the median of the quantile forecast; a series without a forecast has its rows with NULL.
     """
     lv = levels or fv.LEVELS_9
     blank = F.lit(None).cast("array<double>")
@@ -292,7 +292,8 @@ def forecast_layout(
         blank.alias("q"),
     )
     mid = [round(x, 3) for x in lv].index(0.5) + 1
-    ahead = origin.select("series_id", "cutoff", F.posexplode(model).alias("p", "q")).select(
+    unknown = F.array_repeat(blank, F.size("step_pools"))
+    ahead = origin.select("series_id", "cutoff", F.posexplode(F.coalesce(model, unknown)).alias("p", "q")).select(
         "series_id",
         (F.col("cutoff") + F.col("p")).alias("time"),
         F.lit(None).cast("double").alias("context"),

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 64
+BUCKETS_PER_OCTAVE = 1024
+LOWEST_OCTAVE = 1100  # below the smallest positive double
 
 
 def _bucket(value: Column) -> Column:
-    # order-preserving: larger values never get a smaller bucket
-    return (F.signum(value) * F.floor(F.log2(1 + F.abs(value)) * BUCKETS_PER_OCTAVE)).cast("long")
+    # order-preserving: larger values never get a smaller bucket; small values are told apart like large ones
+    size = F.floor((F.log2(F.abs(value)) + LOWEST_OCTAVE) * BUCKETS_PER_OCTAVE)
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * size).cast("long")
 
 
 def grouped_percentiles(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriloom.operators import series as se
-from seriloom.operators.percentiles import grouped_percentiles
+from seriloom.operators.percentiles import _bucket, grouped_percentiles
 
 MON = date(2020, 1, 6)
 
@@ -162,3 +162,13 @@ def test_undated_positions_across_chunks(spark):
         want = [v for s, _, v in rows if s == name]
         mine = got.filter(F.col("series_id") == name).orderBy("idx").collect()
         assert [r.value for r in mine] == want and [r.idx for r in mine] == list(range(len(want)))
+
+
+def test_percentiles_of_many_small_values(spark):
+
+    values = [i * 1e-8 for i in range(100_000)] + [-1e-9, -5.0, 0.0]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    got = grouped_percentiles(df, ["k"], "v", {"low": 0.01, "mid": 0.5, "high": 0.999}).first()
+    assert np.allclose([got.low, got.mid, got.high], np.quantile(values, [0.01, 0.5, 0.999]), rtol=1e-12, atol=0)
+    buckets = df.select("v", _bucket(F.col("v")).alias("b")).orderBy("v").collect()
+    assert all(x.b <= y.b for x, y in zip(buckets, buckets[1:])) and len({r.b for r in buckets}) > 5000
