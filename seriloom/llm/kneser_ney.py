@@ -30,6 +30,7 @@ from seriloom.llm.batches import mixed, slices, words_of
 
 ORDER = 5
 BITS = 21
+COUNTED_BYTES = 4 << 20
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = 1, 2  # symbols; letters are code points + 3
 
@@ -49,10 +50,10 @@ def events_of(words: list[str], order: int, fold_case: bool = True) -> tuple[np.
 
 def slots_of(symbols: np.ndarray, at: np.ndarray, longest: int, bits: int, back: int = 0) -> list[np.ndarray]:
     """For lengths 0 to ``longest``: hashes of the symbols that end ``back`` before each position."""
-    h, out = np.zeros(len(at), np.uint64), [np.zeros(len(at), np.int64)]
+    h, out = np.zeros(len(at), np.uint64), [np.zeros(len(at), np.int32)]
     for j in range(longest):
         h = h * FOLD + symbols[at - (back + j)]
-        out.append((mixed(h + np.uint64(j + 1)) >> np.uint64(64 - bits)).astype(np.int64))
+        out.append((mixed(h + np.uint64(j + 1)) >> np.uint64(64 - bits)).astype(np.int32))
     return out
 
 
@@ -63,7 +64,7 @@ def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int
     """
 
     def count(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", COUNTED_BYTES):
             starts, codes, words = words_of(batch.column("text"))
             group = np.repeat(batch.column("group").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts))
             symbols, at = events_of(words.to_pylist(), order, fold_case)
@@ -78,7 +79,7 @@ def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int
                 least = []
                 for other in (contexts[k - 1], slots[k - 1]):
                     low = np.full(1 << bits, 1 << bits, np.int32)
-                    np.minimum.at(low, slot, other.astype(np.int32))
+                    np.minimum.at(low, slot, other)
                     least.append(low[found])
                 opening = np.zeros(1 << bits, bool)
                 opening[slot[symbols[at - k + 1] == START]] = True
