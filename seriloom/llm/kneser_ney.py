@@ -1,15 +1,16 @@
-"""Kneser-Ney models over the letters of words: counted by Spark, kept in sorted hash arrays.
+"""Kneser-Ney models over letters: counted, smoothed and looked up by Spark, exact at every size.
 
-An event is a letter (or the end of a word) after the ``order - 1`` letters before it inside the
-word (lower-cased, if asked for); a short history is filled up with a start mark, so the first letters of a
-word have the whole word so far as history. A word's log-probability depends on the word alone, so
-a slice of documents looks up each of its distinct words once.
+An event is a letter, or the end of a sequence, after the ``order - 1`` letters before it (lower-cased, if
+asked for); a short history is filled up with a start mark. A sequence is a word, or, with ``across``, a whole
+text: its words with one space between them, so that histories cross word borders.
 
-Size. An n-gram is its order and a hash of ``bits`` bits; n-grams with one hash share their
-counts. A model thus has at most ``order * 2 ** bits`` entries whatever the corpus holds, and this
-bound is what allows the counts to meet on the driver and the model to be sent to all tasks.
-Counting itself covers every word of every document: each slice sends one row for each n-gram it
-has, and rows are summed by (order, hash).
+Size. An n-gram is kept as itself, a string of ``order`` symbols, so no two share their counts. Nothing of the model is
+gathered on the driver or sent to all tasks but its discounts: counts, continuation counts and totals
+of contexts are sums by key, and a probability is joined from the tables of its order and of the next lower one.
+
+Lookup. Documents are packed into slices, and some slices of one task make a packet. A packet asks once for each of its
+distinct n-grams, and the answers meet its slices again in a cogroup by packet. A task's memory is bounded by one
+packet's texts and n-grams.
 
 Smoothing. The highest order uses counts, lower orders use the number of distinct letters seen
 before an n-gram (plain counts for n-grams that begin with the start mark). Discounts of one, two and
@@ -19,104 +20,154 @@ given to the next lower order, down to a uniform share.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriloom.llm.batches import mixed, slices, words_of
+from seriloom.functions.storage import cut_lineage
+from seriloom.llm.batches import filled, slices, words_of
 
 ORDER = 5
-BITS = 21
 COUNTED_BYTES = 4 << 20
-FOLD = np.uint64(0x9E3779B97F4A7C15)
-START, END = 1, 2  # symbols; letters are code points + 3
+PACKET_BYTES = 24 << 20
+MOST_DENSE = 1 << 25
+START, END = "\n", "\r"  # white space is in no word
 
 
-def events_of(words: list[str], order: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols with padding, position of each event); words must hold no line end."""
-    text = "".join(f"{w}\n" for w in words)
-    text = text.lower() if fold_case else text
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    ends = np.flatnonzero(points == 10)
-    word = np.cumsum(points == 10) - (points == 10)
-    at = np.arange(len(points)) + (order - 1) * (word + 1)
-    symbols = np.full(len(points) + (order - 1) * len(ends), START, np.uint64)
-    symbols[at] = np.where(points == 10, END, points + 3).astype(np.uint64)
-    return symbols, at
+@dataclass
+class Events:
+    """Events of some texts: ``starts`` per text in words, ``word_starts`` and ``word_events`` per word in events, the n-gram of each event."""
+
+    starts: np.ndarray
+    word_starts: np.ndarray
+    word_events: np.ndarray
+    ids: np.ndarray
+    grams: pa.Array
+
+
+def events_of(texts: pa.Array, order: int, fold_case: bool = True, across: bool = False) -> Events:
+    starts, codes, words = words_of(texts)
+    if not len(codes):
+        none = np.zeros(0, np.int64)
+        return Events(starts, none, none, none, pa.array([], pa.string()))
+    if across:
+        closed = np.full(len(codes), " ", object)
+        closed[starts[1:][np.diff(starts) > 0] - 1] = END
+    else:
+        closed = np.full(len(codes), END, object)
+    spelt = np.array(words.to_pylist(), object)[codes]
+    text = "".join((spelt + closed).tolist())
+    points = np.frombuffer((text.lower() if fold_case else text).encode("utf-32-le"), np.uint32)
+    del text, spelt, closed
+
+    closes = points == ord(END)
+    word_ends = np.flatnonzero(closes | (points == ord(" ")))
+    word_starts = np.concatenate([[0], word_ends[:-1] + 1])
+    sequence = np.cumsum(closes) - closes
+    at = np.arange(len(points)) + (order - 1) * (sequence + 1)
+    known = np.zeros(0x110000, bool)
+    known[points] = known[ord(START)] = True
+    letters = np.flatnonzero(known).astype(np.uint32)
+    rank = (np.cumsum(known) - 1).astype(np.int32)
+    symbols = np.full(len(points) + (order - 1) * int(closes.sum()), rank[ord(START)], np.int32)
+    symbols[at] = rank[points]
+
+    n, levels = len(letters), []
+    ids, size = symbols[at - order + 1].astype(np.int64), n
+    for j in range(1, order):  # n-grams are numbered by (number of the n-gram before the last letter, last letter)
+        ids = ids * n + symbols[at - order + 1 + j]
+        if size * n <= MOST_DENSE:
+            seen = np.zeros(size * n, bool)
+            seen[ids] = True
+            found, ids = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[ids].astype(np.int64)
+        else:
+            found, ids = np.unique(ids, return_inverse=True)
+        levels.append(found)
+        size = len(found)
+    rest, columns = np.arange(size), []
+    for found in reversed(levels):
+        rest, last = np.divmod(found[rest], n)
+        columns.append(letters[last])
+    columns.append(letters[rest])
+    spelt = np.stack(columns[::-1], axis=1).tobytes().decode("utf-32-le")
+    grams = pa.array([spelt[i : i + order] for i in range(0, size * order, order)], pa.string())
+    return Events(starts, word_starts, word_ends + 1 - word_starts, ids, grams)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(packet, slice): the rows of ``docs``, which have a column text, as compressed Arrow streams."""
+
+    def pack(batches):
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches, "text", COUNTED_BYTES):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([first + size // PACKET_BYTES]), pa.array([out.getvalue().to_pybytes()])], ["packet", "slice"])
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
 
+    return docs.mapInArrow(pack, "packet long, slice binary")
 
-def slots_of(symbols: np.ndarray, at: np.ndarray, longest: int, bits: int, back: int = 0) -> list[np.ndarray]:
-    """For lengths 0 to ``longest``: hashes of the symbols that end ``back`` before each position."""
-    h, out = np.zeros(len(at), np.uint64), [np.zeros(len(at), np.int32)]
-    for j in range(longest):
-        h = h * FOLD + symbols[at - (back + j)]
-        out.append((mixed(h + np.uint64(j + 1)) >> np.uint64(64 - bits)).astype(np.int32))
-    return out
 
+def unpacked(piece: pa.Scalar) -> pa.RecordBatch:
+    table = pa.ipc.open_stream(piece.as_buffer()).read_all().combine_chunks()
+    return table.to_batches()[0]
 
-def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS, fold_case: bool = True) -> DataFrame:
-    """(k, slot, context, tail, opening, counts) of ``docs(text, group)``; group runs from 0 to groups - 1.
 
-    ``context`` and ``tail`` are the hashes of the n-gram without its last and its first symbol.
-    """
+def gram_rows(slices_of: DataFrame, groups: int = 1, order: int = ORDER, fold_case: bool = True, across: bool = False) -> DataFrame:
+    """(packet, gram, counts): each packet's distinct n-grams. Counts are by the column group of the packed rows, from 0 to
+    groups - 1; a row of no group, or a table without the column, counts nothing."""
+    names = [f"c{g}" for g in range(groups)]
 
-    def count(batches):
-        for batch in slices(batches, "text", COUNTED_BYTES):
-            starts, codes, words = words_of(batch.column("text"))
-            group = np.repeat(batch.column("group").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts))
-            symbols, at = events_of(words.to_pylist(), order, fold_case)
-            ends = np.flatnonzero(symbols[at] == END)
-            lengths = np.diff(np.concatenate([[-1], ends]))
-            used = np.stack([np.bincount(codes[group == g], minlength=len(words)) for g in range(groups)])
-            weight = np.repeat(used, lengths, axis=1)
-            slots, contexts = slots_of(symbols, at, order, bits), slots_of(symbols, at, order - 1, bits, 1)
-            for k in range(1, order + 1):
-                slot = slots[k]
-                found = np.flatnonzero(np.bincount(slot, minlength=1 << bits))
-                least = []
-                for other in (contexts[k - 1], slots[k - 1]):
-                    low = np.full(1 << bits, 1 << bits, np.int32)
-                    np.minimum.at(low, slot, other)
-                    least.append(low[found])
-                opening = np.zeros(1 << bits, bool)
-                opening[slot[symbols[at - k + 1] == START]] = True
-                sums = [np.bincount(slot, w, minlength=1 << bits)[found].astype(np.int64) for w in weight]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), k), pa.int32()), pa.array(found, pa.int32()), *map(pa.array, least), pa.array(opening[found]), *map(pa.array, sums)],
-                    names,
-                )
-
-    counts = [f"c{g}" for g in range(groups)]
-    names = ["k", "slot", "context", "tail", "opening", *counts]
-    schema = "k int, slot int, context int, tail int, opening boolean, " + ", ".join(f"{c} long" for c in counts)
-    parts = docs.select("text", "group").mapInArrow(count, schema)
-    # n-grams that share a hash share a row; the least context and tail keep it the same in every run
-    return parts.groupBy("k", "slot").agg(
-        F.min("context").alias("context"), F.min("tail").alias("tail"), F.max("opening").alias("opening"), *[F.sum(c).alias(c) for c in counts]
-    )
+    def counted(batch):
+        events = events_of(batch.column("text"), order, fold_case, across)
+        columns = [np.zeros(len(events.grams), np.int64)] * groups
+        if "group" in batch.schema.names and len(events.ids):
+            group = pc.fill_null(batch.column("group").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.repeat(group, np.diff(events.starts)), events.word_events)
+            columns = [np.bincount(events.ids[of == g], minlength=len(events.grams)) for g in range(groups)]
+        return pa.table([events.grams, *map(pa.array, columns)], ["gram", *names])
 
+    def summed(packet, tables):
+        total = pa.concat_tables(tables).group_by("gram").aggregate([(c, "sum") for c in names])
+        total = total.select(["gram", *[f"{c}_sum" for c in names]]).rename_columns(["gram", *names])
+        for batch in total.to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, packet)), *batch.columns], ["packet", "gram", *names])
 
-@dataclass
-class Tables:
-    """Sorted hashes of an order's n-grams with their discounted probability, and of its contexts with what is left."""
+    def count(batches):
+        tables, packet = [], None
+        for batch in batches:
+            for number, piece in zip(batch.column("packet").to_pylist(), batch.column("slice")):
+                if tables and number != packet:
+                    yield from summed(packet, tables)
+                    tables = []
+                packet = number
+                tables.append(counted(unpacked(piece)))
+        if tables:
+            yield from summed(packet, tables)
+
+    return slices_of.mapInArrow(count, "packet long, gram string, " + ", ".join(f"{c} long" for c in names))
 
-    slots: np.ndarray
-    probs: np.ndarray
-    contexts: np.ndarray
-    left: np.ndarray
 
-    def dense(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        probs, left = np.zeros(1 << bits, np.float32), np.ones(1 << bits, np.float32)
-        probs[self.slots], left[self.contexts] = self.probs, self.left
-        return probs, left
+def ngram_counts(docs: DataFrame, groups: int = 1, order: int = ORDER, bits: int | None = None, fold_case: bool = True, across: bool = False) -> DataFrame:
+    """(gram, counts) of ``docs(text, group)``; group runs from 0 to groups - 1. ``bits`` has no effect: n-grams are not hashed."""
+    rows = gram_rows(packed(docs.select("text", "group")), groups, order, fold_case, across)
+    return rows.groupBy("gram").agg(*[F.sum(f"c{g}").alias(f"c{g}") for g in range(groups)])
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Amounts to take from counts of 0, 1, 2 and 3 or more (modified Kneser-Ney)."""
-    n = [float((counts == i).sum()) for i in range(1, 5)]
+    return discounts_of([float((counts == i).sum()) for i in range(1, 5)])
+
+
+def discounts_of(n: list[float]) -> np.ndarray:
+    """The same from the numbers of counts of 1, 2, 3 and 4."""
     if min(n) == 0:
         return np.array([0.0, 0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
@@ -124,66 +175,111 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(float(np.clip(x, 0.1, i)) for i, x in enumerate(d, 1))])
 
 
-def tables(slot: np.ndarray, context: np.ndarray, counts: np.ndarray) -> Tables:
-    seen = counts > 0
-    slot, context, counts = slot[seen], context[seen], counts[seen].astype(float)
-    taken = discounts(counts)[np.minimum(counts, 3).astype(int)]
-    contexts, inverse = np.unique(context, return_inverse=True)
-    total = np.bincount(inverse, counts, minlength=len(contexts))
-    left = np.bincount(inverse, taken, minlength=len(contexts)) / np.maximum(total, 1)
-    order = np.argsort(slot)
-    return Tables(slot[order], ((counts - taken) / total[inverse])[order].astype(np.float32), contexts, left.astype(np.float32))
+def _taken(table: DataFrame, count: str) -> Column:
+    found = {r["n"]: r["count"] for r in table.filter(F.col(count).between(1, 4)).groupBy(F.col(count).alias("n")).count().collect()}
+    d = discounts_of([float(found.get(i, 0)) for i in range(1, 5)])
+    n = F.col(count)
+    return F.when(n >= 3, float(d[3])).when(n == 2, float(d[2])).when(n == 1, float(d[1])).otherwise(0.0)
+
+
+def log_probabilities(rows: DataFrame, groups: int = 1, order: int = ORDER) -> DataFrame:
+    """(gram, packets, l0, l1, ...) of ``rows(packet, gram, counts)``: log-probabilities by group of every n-gram in ``rows``, and
+    the packets that ask for it. Lower orders are shared by all groups."""
+    names = [f"c{g}" for g in range(groups)]
+    top = cut_lineage(rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names], F.collect_list("packet").alias("packets")))
+    tables = {order: top.withColumn("plain", sum((F.col(c) for c in names[1:]), F.col(names[0])))}
+    for k in range(order - 1, 0, -1):
+        shorter = tables[k + 1].groupBy(F.substring("gram", 2, k).alias("gram"))
+        below = shorter.agg(F.sum("plain").alias("plain"), F.sum((F.col("plain") > 0).cast("long")).alias("before"))
+        tables[k] = cut_lineage(below.withColumn("n", F.when(F.col("gram").startswith(START), F.col("plain")).otherwise(F.col("before"))))
+
+    taken = _taken(tables[1], "n")
+    whole = tables[1].agg(F.sum("n"), F.sum(taken), F.sum((F.col("n") > 0).cast("long"))).first()
+    total, less, letters = (x or 0 for x in whole)
+    uniform = 1.0 / max(letters + 1, 2)
+    known = tables[1].select("gram", ((F.col("n") - taken + less * uniform) / total if total else F.lit(uniform)).alias("p"))
+    for k in range(2, order + 1):
+        counts = ["n"] if k < order else names
+        less_of = {c: _taken(tables[k], c) for c in counts}
+        context = F.substring("gram", 1, k - 1)
+        sums = [x for c in counts for x in (F.sum(c).alias(f"{c}_all"), F.sum(less_of[c]).alias(f"{c}_less"))]
+        contexts = tables[k].groupBy(context.alias("context")).agg(*sums)
+        lower = known.select(F.col("gram").alias("tail"), F.col("p").alias("lower"))
+        joined = tables[k].withColumns({"context": context, "tail": F.substring("gram", 2, k - 1)}).join(contexts, "context").join(lower, "tail")
+
+        def refined(c):
+            everything, rest = F.col(f"{c}_all"), F.col(f"{c}_less")
+            return F.when(everything > 0, (F.col(c) - less_of[c] + rest * F.col("lower")) / everything).otherwise(F.col("lower"))
+
+        if k < order:
+            known = joined.select("gram", refined("n").alias("p"))
+    return joined.select("gram", "packets", *[F.ln(refined(c)).cast("float").alias(f"l{g}") for g, c in enumerate(names)])
+
+
+Compute = Callable[[pa.RecordBatch, Events, np.ndarray, np.ndarray], pa.RecordBatch]
+
+
+def scored(
+    docs: DataFrame, compute: Compute, schema: str, learnt: DataFrame | None = None, groups: int = 1, order: int = ORDER, fold_case: bool = True, across: bool = False
+) -> DataFrame:
+    """``compute(rows, events, events of each word, log-probability of each word by group)`` over slices of ``docs``, by a model of
+    ``learnt(text, group)``, or of ``docs`` itself if it has a column group. ``docs`` must be read alike each time."""
+    pieces = packed(docs)
+    rows = gram_rows(pieces, groups, order, fold_case, across)
+    if learnt is not None:
+        counted = gram_rows(packed(learnt.select("text", "group")), groups, order, fold_case, across)
+        rows = rows.union(counted.withColumn("packet", F.lit(None).cast("long")))
+    logs = [f"l{g}" for g in range(groups)]
+    answers = log_probabilities(rows, groups, order).select(F.explode("packets").alias("packet"), "gram", *logs)
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = right.column("gram").combine_chunks()
+        values = [right.column(c).to_numpy() for c in logs]
+        out = []
+        for piece in left.column("slice").combine_chunks():
+            batch = unpacked(piece)
+            events = events_of(filled(batch.column("text")), order, fold_case, across)
+            place = pc.index_in(events.grams, value_set=asked)
+            if place.null_count:
+                raise ValueError("a packet has n-grams that were not asked for: its table was read in another order")
+            place = place.to_numpy(zero_copy_only=False)
+            sums = [np.add.reduceat(v[place][events.ids].astype(float), events.word_starts) if len(events.ids) else np.zeros(0) for v in values]
+            out.append(compute(batch, events, events.word_events, np.stack(sums)))
+        return pa.Table.from_batches(out) if out else empty
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return pieces.groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(look_up, schema)
 
 
 @dataclass
 class Model:
-    """``shared``: tables of orders 1, 2, ...; ``top``: the highest order's tables of each group."""
+    """Counts of a model of words, for looking up a few words."""
 
+    counts: DataFrame
+    groups: int
     order: int
-    bits: int
-    uniform: float
-    shared: list[Tables]
-    top: list[Tables]
-    fold_case: bool = True
-    _dense: dict = field(default_factory=dict, repr=False)
-
-    def _table(self, kind: str, i: int):
-        if (kind, i) not in self._dense:
-            self._dense[kind, i] = getattr(self, kind)[i].dense(self.bits)
-        return self._dense[kind, i]
+    fold_case: bool
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(events of each word, log-probability of each word by group)."""
         if not words:
-            return np.zeros(0, np.int64), np.zeros((len(self.top), 0))
-        symbols, at = events_of(words, self.order, self.fold_case)
-        ends = np.flatnonzero(symbols[at] == END)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        slots, contexts = slots_of(symbols, at, self.order, self.bits), slots_of(symbols, at, self.order - 1, self.bits, 1)
-
-        def refined(lower, kind, i, k):
-            probs, left = self._table(kind, i)
-            return probs[slots[k]] + left[contexts[k - 1]] * lower
-
-        p = np.full(len(at), self.uniform)
-        for k in range(1, self.order):
-            p = refined(p, "shared", k - 1, k)
-        logs = [np.log(refined(p, "top", g, self.order)) for g in range(len(self.top))]
-        return ends + 1 - starts, np.stack([np.add.reduceat(x, starts) for x in logs])
-
-
-def fit(counts: DataFrame, groups: int = 1, order: int = ORDER, bits: int = BITS, fold_case: bool = True) -> Model:
-    """The model of ``ngram_counts``; lower orders are shared by all groups."""
-    columns = ["k", "slot", "context", "tail", "opening", *[f"c{g}" for g in range(groups)]]
-    rows = {c: v.to_numpy() for c, v in zip(columns, counts.select(*columns).toArrow().columns)}
-    shared = []
-    at = {k: np.flatnonzero(rows["k"] == k) for k in range(1, order + 1)}
-    for k in range(1, order):
-        here, above = at[k], at[k + 1]
-        before = np.bincount(rows["tail"][above], minlength=1 << bits)[rows["slot"][here]]
-        plain = sum(rows[f"c{g}"][here] for g in range(groups))
-        adjusted = np.where(rows["opening"][here], plain, np.maximum(before, 1))
-        shared.append(tables(rows["slot"][here], rows["context"][here], adjusted))
-    here = at[order]
-    top = [tables(rows["slot"][here], rows["context"][here], rows[f"c{g}"][here]) for g in range(groups)]
-    return Model(order, bits, 1.0 / max(len(at[1]) + 1, 2), shared, top, fold_case)
+            return np.zeros(0, np.int64), np.zeros((self.groups, 0))
+        events = events_of(pa.array(words), self.order, self.fold_case)
+        names = [f"c{g}" for g in range(self.groups)]
+        asked = self.counts.sparkSession.createDataFrame([(0, g, *[0] * self.groups) for g in events.grams.to_pylist()], self._schema(names))
+        rows = asked.union(self.counts.select(F.lit(None).cast("long"), "gram", *names))
+        found = {r.gram: r for r in log_probabilities(rows, self.groups, self.order).filter(F.size("packets") > 0).collect()}
+        logs = [np.array([found[g][f"l{i}"] for g in events.grams.to_pylist()])[events.ids] for i in range(self.groups)]
+        return events.word_events, np.stack([np.add.reduceat(x, events.word_starts) for x in logs])
+
+    @staticmethod
+    def _schema(names: list[str]) -> str:
+        return "packet long, gram string, " + ", ".join(f"{c} long" for c in names)
+
+
+def fit(counts: DataFrame, groups: int = 1, order: int = ORDER, bits: int | None = None, fold_case: bool = True) -> Model:
+    """The model of ``ngram_counts`` over words; ``bits`` has no effect."""
+    return Model(counts, groups, order, fold_case)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
 from seriloom.llm import kneser_ney
-from seriloom.llm.batches import filled, hashes_of, mixed, owner_of, slices, sums_between, words_of
+from seriloom.llm.batches import filled, hashes_of, mixed, owner_of, sums_between, words_of
 
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
@@ -33,7 +33,6 @@ WIDTH = 6.0
 LEAST_HALF_BAND = 0.1
 SHORT = 25
 BINS = 200  # of a unit of log-perplexity
-MEASURED_BYTES = 4 << 20
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -68,41 +67,33 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def measures(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, whole: bool = False) -> DataFrame:
+def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity), or all
     columns of ``docs`` in one struct ``row`` in place of doc_id."""
-    sent = spark.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def measure(batches):
-        for batch in slices(batches, "text", MEASURED_BYTES):
-            texts = filled(batch.column("text"))
-            starts, codes, words = words_of(texts)
-            events, logs = sent.value.word_scores(words.to_pylist())
-            chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-            total = np.maximum(sums_between(events[codes], starts), 1)
-            counts = [
-                np.diff(starts),
-                sums_between(chars[codes], starts),
-                pc.count_substring_regex(texts, SYMBOLS).to_numpy(zero_copy_only=False),
-                np.array([repeated_lines(t) for t in texts.to_pylist()], np.int64),
-                repeated_words(starts, hashes_of(words)[codes], REPEAT_WINDOW),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(first),
-                    batch.column("lang"),
-                    *[pa.array(c.astype(np.int64)) for c in counts],
-                    pa.array(-sums_between(logs[0][codes], starts) / total),
-                ],
-                [first, "lang", *names, "log_perplexity"],
-            )
+    def measure(batch, events, sizes, logs):
+        texts = filled(batch.column("text"))
+        starts, codes, words = words_of(texts)
+        chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        counts = [
+            np.diff(starts),
+            sums_between(chars[codes], starts),
+            pc.count_substring_regex(texts, SYMBOLS).to_numpy(zero_copy_only=False),
+            np.array([repeated_lines(t) for t in texts.to_pylist()], np.int64),
+            repeated_words(starts, hashes_of(words)[codes], REPEAT_WINDOW),
+        ]
+        perplexity = -sums_between(logs[0], starts) / np.maximum(sums_between(sizes, starts), 1)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(first), batch.column("lang"), *[pa.array(c.astype(np.int64)) for c in counts], pa.array(perplexity)],
+            [first, "lang", *names, "log_perplexity"],
+        )
 
     first = "row" if whole else "doc_id"
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long")
-    given = docs.select(carried, F.col("lang").cast("string"), "text")
+    given = docs.select(carried, F.col("lang").cast("string"), "text", F.lit(0).alias("group"))
     schema = f"{first} {given.schema[first].dataType.simpleString()}, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
-    return given.mapInArrow(measure, schema)
+    return kneser_ney.scored(given, measure, schema, fold_case=False)
 
 
 def bands(measured: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND) -> DataFrame:
@@ -123,10 +114,8 @@ def bands(measured: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_B
 
 
 def verdicts(spark: SparkSession, docs: DataFrame, width: float, least: float, whole: bool) -> DataFrame:
-    counts = kneser_ney.ngram_counts(docs.select("text", F.lit(0).alias("group")), fold_case=False)
-    model = kneser_ney.fit(counts, fold_case=False)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    measured = cut_lineage(measures(spark, docs, model, whole).withColumn("base_failed", failed))
+    measured = cut_lineage(measures(docs, whole).withColumn("base_failed", failed))
     limits = cut_lineage(bands(measured.filter("NOT base_failed"), width, least).withColumnRenamed("lang", "of"))  # a known, small size
     joined = measured.join(limits, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
     wide = F.col("half") * (1 + F.sqrt(SHORT / F.greatest("n_words", F.lit(1))))

@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
 from seriloom.llm import kneser_ney
-from seriloom.llm.batches import slices, sums_between, words_of
+from seriloom.llm.batches import sums_between
 
 RUN = 8
 CALIBRATION_ROWS = 20_000
-MEASURED_BYTES = 4 << 20
 FEATURES = ["whole", "run", "word", "excess"]
 
 
@@ -37,30 +36,26 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def evidence(spark: SparkSession, docs: DataFrame, model: kneser_ney.Model, run: int = RUN) -> DataFrame:
-    """(doc_id, whole, run, word, excess): length-normalised log-likelihood differences."""
-    sent = spark.sparkContext.broadcast(model)
-
-    def weigh(batches):
-        for batch in slices(batches, "text", MEASURED_BYTES):
-            starts, codes, words = words_of(batch.column("text"))
-            events, logs = sent.value.word_scores(words.to_pylist())
-            gain = (logs[1] - logs[0])[codes]
-            sizes = np.diff(starts)
-            some = sizes > 0
-            whole, best_run, word, excess = (np.zeros(len(sizes)) for _ in range(4))
-            if len(gain):
-                at = starts[:-1][some]
-                whole[some] = sums_between(gain, starts)[some] / sums_between(events[codes], starts)[some]
-                word[some] = np.maximum.reduceat(gain, at)
-                excess[some] = sums_between(np.maximum(gain - 2, 0), starts)[some] / sizes[some]
-                total = np.concatenate([[0], np.cumsum(gain)])
-                end = np.minimum(np.arange(len(gain)) + run, np.repeat(starts[1:], sizes))
-                best_run[some] = np.maximum.reduceat((total[end] - total[:-1]) / run, at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (whole, best_run, word, excess))], ["doc_id", *FEATURES])
+def evidence(docs: DataFrame, learnt: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, whole, run, word, excess): length-normalised log-likelihood differences by models of ``learnt(text, group)``."""
+
+    def weigh(batch, events, lengths, logs):
+        starts, gain = events.starts, logs[1] - logs[0]
+        sizes = np.diff(starts)
+        some = sizes > 0
+        whole, best_run, word, excess = (np.zeros(len(sizes)) for _ in range(4))
+        if len(gain):
+            at = starts[:-1][some]
+            whole[some] = sums_between(gain, starts)[some] / sums_between(lengths, starts)[some]
+            word[some] = np.maximum.reduceat(gain, at)
+            excess[some] = sums_between(np.maximum(gain - 2, 0), starts)[some] / sizes[some]
+            total = np.concatenate([[0], np.cumsum(gain)])
+            end = np.minimum(np.arange(len(gain)) + run, np.repeat(starts[1:], sizes))
+            best_run[some] = np.maximum.reduceat((total[end] - total[:-1]) / run, at)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (whole, best_run, word, excess))], ["doc_id", *FEATURES])
 
     given = docs.select(F.col("doc_id").cast("long"), "text")
-    return given.mapInArrow(weigh, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES))
+    return kneser_ney.scored(given, weigh, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES), learnt, 2)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -88,9 +83,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, calibration_r
     shown = docs.select(F.col("doc_id").cast("long"), "text").filter(fold.between(1, 3))
     # labels grow with the documents, so they are never broadcast
     learnt = shown.join(known.filter(fold.between(1, 3)).hint("merge"), "doc_id")
-    model = kneser_ney.fit(kneser_ney.ngram_counts(learnt, 2), 2)
-
-    weighed = cut_lineage(evidence(spark, docs, model))
+    weighed = cut_lineage(evidence(docs, learnt))
     sample = weighed.join(known.filter(fold == 4), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     rows = sample.select(*FEATURES, "group").toArrow()
     x = np.column_stack([rows.column(c).to_numpy() for c in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
