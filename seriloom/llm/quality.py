@@ -1,7 +1,7 @@
 """Quality rules: counts of words, symbols and repeats, and perplexity bands by language.
 
-A modified Kneser-Ney letter model is counted over all documents, and a document's perplexity per
-letter (case kept) is compared with its language's band. A band lies ``width`` robust deviations
+A modified Kneser-Ney letter model, whose histories cross word borders, is counted over all documents, and a document's
+perplexity per letter or space (case kept) is compared with its language's band. A band lies ``width`` robust deviations
 (scaled median distance from the median) below and above the median log-perplexity of the language's
 documents that pass the base rules, and never closer than ``least``; for a text of n words it is
 wider by the factor 1 + sqrt(SHORT / n), since a short text's perplexity varies more. Unlike a fixed
@@ -93,7 +93,7 @@ def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long")
     given = docs.select(carried, F.col("lang").cast("string"), "text", F.lit(0).alias("group"))
     schema = f"{first} {given.schema[first].dataType.simpleString()}, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
-    return kneser_ney.scored(given, measure, schema, fold_case=False)
+    return kneser_ney.scored(given, measure, schema, fold_case=False, across=True)
 
 
 def bands(measured: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND) -> DataFrame:
