@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
-from seriloom.llm.batches import filled, slices, words_of
+from seriloom.llm.batches import filled, give_back, slices
 
 ORDER = 5
-COUNTED_BYTES = 4 << 20
+COUNTED_BYTES = 2 << 20
 PACKET_BYTES = 24 << 20
 MOST_DENSE = 1 << 25
 START, END = "\n", "\r"  # white space is in no word
@@ -52,19 +52,17 @@ class Events:
 
 
 def events_of(texts: pa.Array, order: int, fold_case: bool = True, across: bool = False) -> Events:
-    starts, codes, words = words_of(texts)
-    if not len(codes):
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(filled(texts)))
+    joined = pc.binary_join(words, " " if across else END)
+    some = pc.greater(pc.binary_length(joined), 0)
+    sizes = np.where(some.to_numpy(zero_copy_only=False), pc.list_value_length(words).to_numpy(zero_copy_only=False), 0)
+    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    if not starts[-1]:
         none = np.zeros(0, np.int64)
         return Events(starts, none, none, none, pa.array([], pa.string()))
-    if across:
-        closed = np.full(len(codes), " ", object)
-        closed[starts[1:][np.diff(starts) > 0] - 1] = END
-    else:
-        closed = np.full(len(codes), END, object)
-    spelt = np.array(words.to_pylist(), object)[codes]
-    text = "".join((spelt + closed).tolist())
+    text = END.join([*joined.filter(some).to_pylist(), ""])
     points = np.frombuffer((text.lower() if fold_case else text).encode("utf-32-le"), np.uint32)
-    del text, spelt, closed
+    del text, words, joined
 
     closes = points == ord(END)
     word_ends = np.flatnonzero(closes | (points == ord(" ")))
@@ -149,8 +147,11 @@ def gram_rows(slices_of: DataFrame, groups: int = 1, order: int = ORDER, fold_ca
                     tables = []
                 packet = number
                 tables.append(counted(unpacked(piece)))
+                give_back()
         if tables:
             yield from summed(packet, tables)
+        tables = []
+        give_back()
 
     return slices_of.mapInArrow(count, "packet long, gram string, " + ", ".join(f"{c} long" for c in names))
 
@@ -245,6 +246,8 @@ def scored(
             place = place.to_numpy(zero_copy_only=False)
             sums = [np.add.reduceat(v[place][events.ids].astype(float), events.word_starts) if len(events.ids) else np.zeros(0) for v in values]
             out.append(compute(batch, events, events.word_events, np.stack(sums)))
+            del batch, events, place, sums
+            give_back()
         return pa.Table.from_batches(out) if out else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
