@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two letter models, of toxic and of ordinary documents, whose histories cross word borders, share their lower orders, whose counts are
+Two letter models, of toxic and of ordinary documents, over letters inside words, share their lower orders, whose counts are
 pooled: an expression that is rare in one class backs off to the same shares in both, and then says
 nothing about the class. A document's evidence is the difference of both log-likelihoods,
 normalised by length: over the whole document, over its most telling run of ``RUN`` words and over
@@ -55,7 +55,7 @@ def evidence(docs: DataFrame, learnt: DataFrame, run: int = RUN) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (whole, best_run, word, excess))], ["doc_id", *FEATURES])
 
     given = docs.select(F.col("doc_id").cast("long"), "text")
-    return kneser_ney.scored(given, weigh, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES), learnt, 2, across=True)
+    return kneser_ney.scored(given, weigh, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES), learnt, 2)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, float]:

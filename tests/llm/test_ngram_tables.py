@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from seriloom.llm import kneser_ney, quality, toxicity
+from seriloom.llm import kneser_ney, quality
 from tests.llm.test_models import plain_model
 
 
@@ -25,11 +25,3 @@ def test_order_of_words_counts(spark):
     docs = spark.createDataFrame([(i, usual, "en") for i in range(20)] + [(20, shuffled, "en")], "doc_id long, text string, lang string")
     logs = {r.doc_id: r.log_perplexity for r in quality.judge(spark, docs).collect()}
     assert logs[20] > logs[0] + 0.05
-
-
-def test_expression_of_ordinary_words(spark):
-    ordinary, toxic = "good dog and bad cat", "good cat and bad dog"
-    learnt = spark.createDataFrame([(f"{ordinary} {i % 7}", 0) for i in range(40)] + [(f"{toxic} {i % 7}", 1) for i in range(40)], "text string, group int")
-    docs = spark.createDataFrame([(0, ordinary), (1, toxic)], "doc_id long, text string")
-    found = {r.doc_id: r for r in toxicity.evidence(docs, learnt).collect()}
-    assert found[0].whole < 0 < found[1].whole
