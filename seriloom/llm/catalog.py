@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriloom.functions.storage import fresh_path
-from seriloom.llm import bpe, language, minhash, mixing, mtree, quality, secrets, token_counts, toxicity, warc
+from seriloom.llm import bpe, filter_audit, fingerprints, language, lexical, minhash, mixing, mtree, quality, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,18 @@ def op9(spark, sf_dir):
 @query("op10_mixing", mixing.sql())
 def op10(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fingerprints", fingerprints.sql())
+def op11(spark, sf_dir):
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", lexical.SQL)
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_filter_audit", filter_audit.sql())
+def op13(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
