@@ -207,19 +207,34 @@ def type_changes(spark, d):
     return se.type_changes(tt.combined(spark, d, "customer"))
 
 
+part(
+    "nation_facts",
+    f"""SELECT s.series_id, r_name AS parent, max(obs_date) AS last_update, CASE arg_max(data_type, obs_date) WHEN 1 THEN 'ARI' ELSE 'ILI' END AS data_type, coalesce(any_value(changes), '') AS changes
+    FROM combined s JOIN nation ON n_name = s.series_id JOIN region ON n_regionkey = r_regionkey LEFT JOIN (
+        SELECT series_id, string_agg(strftime(obs_date, '%Y-%m-%d') || '>' || CASE prev WHEN 1 THEN 'ARI' ELSE 'ILI' END || '>' || CASE data_type WHEN 1 THEN 'ARI' ELSE 'ILI' END, ';' ORDER BY obs_date) AS changes
+        FROM (SELECT *, lag(data_type) OVER (PARTITION BY series_id ORDER BY obs_date) AS prev FROM combined) WHERE prev <> data_type GROUP BY 1) c USING (series_id)
+    GROUP BY 1, 2""",
+    "combined",
+)
+
+
 @query(
     "combine_parts",
     sql(
-        f"""SELECT parent, week AS date, {R("sum(value)", "historical")}, {R("sum(value * 2)", "forecast")}, {R("sum(value - 1)", "lower")},
+        f"""SELECT * FROM (SELECT parent, week AS date, {R("sum(value)", "historical")}, {R("sum(value * 2)", "forecast")}, {R("sum(value - 1)", "lower")},
             {R("sum(value + 1)", "upper")}, {R("sum(NULL::DOUBLE)", "lower_50")}, {R("sum(idx)", "upper_50")}
         FROM weekly JOIN (SELECT n_name AS series_id, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey) USING (series_id)
-        GROUP BY 1, 2""",
+        GROUP BY 1, 2) JOIN (SELECT parent, max(last_update) AS last_update, max(last_update) <= DATE '{tt.AS_OF}' - 56 AS stale, count(*) AS n_parts,
+            CASE WHEN count(*) FILTER (WHERE data_type = 'ILI') > count(*) FILTER (WHERE data_type = 'ARI') THEN 'ILI' ELSE 'ARI' END AS data_type,
+            CASE WHEN min(changes) = max(changes) THEN min(changes) ELSE '' END AS changes FROM nation_facts GROUP BY 1) USING (parent)""",
         "weekly",
+        "nation_facts",
     ),
 )
 def combine_parts(spark, d):
     v = F.col("value")
-    points = tt.weekly(spark, d).select(
+    series = tt.combined(spark, d)
+    points = se.weekly_resample(series).select(
         "series_id",
         F.col("week").alias("date"),
         v.alias("historical"),
@@ -229,4 +244,8 @@ def combine_parts(spark, d):
         F.lit(None).cast("double").alias("lower_50"),
         F.col("idx").cast("double").alias("upper_50"),
     )
-    return vw.combine_parts(points, tt.regions(spark, d))
+    parts = tt.regions(spark, d)
+    info = series.groupBy("series_id").agg(F.max("obs_date").alias("last_update"))
+    info = info.join(vw.type_info(series), "series_id").select("series_id", "last_update", vw.type_name(F.col("current_type")).alias("data_type"))
+    facts = vw.combine_facts(info, parts, se.type_changes(series), tt.as_of())
+    return vw.combine_parts(points, parts).join(facts, "parent")

@@ -7,8 +7,8 @@ from seriloom.catalog import tables as tt
 from seriloom.catalog.registry import query
 from seriloom.catalog.sqlparts import B, R, level_list, part, sql
 from seriloom.functions import fixed_values as fv
-from seriloom.functions.storage import cut_lineage
 from seriloom.operators import forecast as fc
+from seriloom.operators import hierarchy as hy
 from seriloom.operators import series as se
 from seriloom.operators import views as vw
 from seriloom.sources import testbed as tb
@@ -225,9 +225,10 @@ part(
     ),
 )
 def future_weeks_view(spark, d):
-    series, pts = stored(spark, d)
-    base = vw.type_aware_baseline(pts, vw.type_map(series), vw.type_info(series))
-    return vw.future_weeks_view(pts, base, vw.staleness(series, tt.as_of()), tt.as_of())
+    series = base_series(spark, d)
+    facts = hy.series_facts(series)
+    scores = hy.published(points(spark, d, series), facts, hy.own_nodes(facts), tt.as_of())
+    return hy.future_weeks(scores).withColumnRenamed("code", "series_id")
 
 
 @query(
@@ -240,68 +241,162 @@ def week_calendar(spark, d):
     return days.select("day", F.posexplode(vw.week_calendar(F.col("day"))).alias("step", "monday"))
 
 
+# nations of two regions stand for their segments; a series of every eleventh nation has no code
+part(
+    "nodes",
+    """SELECT DISTINCT series_id, code, name, parent FROM (
+        SELECT series_id, code || '-' || seg AS code, replace(series_id, '_', ' ') AS name, CASE WHEN up THEN code END AS parent FROM coded_ns
+        UNION ALL SELECT series_id, code, replace(nation, '_', ' '), NULL FROM coded_ns WHERE up)""",
+    "coded_ns",
+)
+part(
+    "coded_ns",
+    """SELECT DISTINCT series_id, n_name AS nation, substr(split_part(series_id, '/', 2), 1, 1) AS seg, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code,
+        n_regionkey IN (0, 2) AS up FROM combined_ns JOIN nation ON n_name = split_part(series_id, '/', 1) WHERE n_nationkey % 11 <> 10""",
+    "combined_ns",
+)
 part(
-    "status",
-    f"""SELECT s.series_id, CASE i.current_type WHEN 1 THEN 'ARI' ELSE 'ILI' END AS data_type, CASE WHEN NOT stale THEN {R("value", None, 1)} END AS value,
-        CASE WHEN NOT stale THEN {R(_Z, None, 2)} END AS zscore, CASE WHEN NOT stale THEN {R(f"least(greatest({_Z} / 2, 0), 1)")} END AS score,
-        CASE WHEN NOT stale THEN source END AS source, CASE WHEN stale THEN 'stale' WHEN {_Z} >= 1 THEN 'high' ELSE 'low' END AS status, stale, last_update
-    FROM stale s JOIN info i USING (series_id) LEFT JOIN (SELECT series_id, coalesce(historical, greatest(forecast, 0.0)) AS value,
-            CASE WHEN historical IS NOT NULL THEN 'actual' ELSE 'forecast' END AS source FROM points
-        WHERE date = {MONDAY} AND (historical IS NOT NULL OR forecast IS NOT NULL)) n USING (series_id) LEFT JOIN z_base b USING (series_id)
-    WHERE stale OR value IS NOT NULL""",
+    "switches_ns",
+    """SELECT series_id, string_agg(strftime(obs_date, '%Y-%m-%d') || '>' || CASE prev WHEN 1 THEN 'ARI' ELSE 'ILI' END || '>' || CASE data_type WHEN 1 THEN 'ARI' ELSE 'ILI' END, ';' ORDER BY obs_date) AS changes
+    FROM (SELECT *, lag(data_type) OVER (PARTITION BY series_id ORDER BY obs_date) AS prev FROM combined_ns) WHERE prev <> data_type GROUP BY 1""",
+    "combined_ns",
+)
+part(
+    "node_facts",
+    f"""SELECT *, coalesce(date_diff('day', last_update, {DAY}) >= 56, true) AS stale FROM (
+        SELECT code, min(name) AS name, min(parent) AS parent, max(last_update) AS last_update, count(*) AS n_parts,
+            CASE WHEN count(*) FILTER (WHERE current_type = 1) > count(*) FILTER (WHERE current_type = 0) THEN 'ARI'
+                WHEN count(*) FILTER (WHERE current_type = 1) < count(*) FILTER (WHERE current_type = 0) THEN 'ILI' ELSE 'ARI' END AS data_type,
+            CASE WHEN min(coalesce(changes, '')) = max(coalesce(changes, '')) THEN min(coalesce(changes, '')) ELSE '' END AS changes,
+            CASE WHEN min(current_type) = max(current_type) THEN min(current_type) END AS current_type
+        FROM nodes JOIN stale USING (series_id) JOIN info USING (series_id) LEFT JOIN switches_ns USING (series_id) GROUP BY code)""",
+    "nodes",
     "stale",
     "info",
+    "switches_ns",
+)
+part(
+    "node_points",
+    "SELECT code, p.date, "
+    + "sum(historical) AS historical, "
+    + ", ".join(f"sum(CASE WHEN NOT stale THEN {f} END) AS {f}" for f in vw.BAND)
+    + """, CASE WHEN min(data_type) = max(data_type) THEN min(data_type) END AS data_type
+    FROM points p JOIN stale USING (series_id) JOIN nodes USING (series_id) LEFT JOIN combined_ns c ON c.series_id = p.series_id AND c.obs_date = p.date GROUP BY 1, 2""",
     "points",
-    "z_base",
+    "stale",
+    "nodes",
+    "combined_ns",
 )
+part(
+    "node_base",
+    """SELECT code, CASE WHEN n_same >= 13 THEN m1 ELSE m0 END AS mean, CASE WHEN n_same >= 13 THEN s1 ELSE s0 END AS std, since FROM (
+        SELECT code, avg(historical) AS m0, stddev_samp(historical) AS s0, avg(historical) FILTER (WHERE p.data_type = f.current_type) AS m1,
+            stddev_samp(historical) FILTER (WHERE p.data_type = f.current_type) AS s1, count(historical) FILTER (WHERE p.data_type = f.current_type) AS n_same,
+            min(date) FILTER (WHERE historical IS NOT NULL) AS since
+        FROM node_points p JOIN node_facts f USING (code) GROUP BY 1)""",
+    "node_points",
+    "node_facts",
+)
+part(
+    "node_status",
+    f"""SELECT f.*, since, value, source, {_Z} AS z, mean, std FROM node_facts f LEFT JOIN node_base USING (code) LEFT JOIN (
+        SELECT code, CASE WHEN historical IS NULL THEN greatest(forecast, 0.0) ELSE historical END AS value,
+            CASE WHEN historical IS NOT NULL THEN 'actual' ELSE 'forecast' END AS source
+        FROM (SELECT code, date, historical, CASE WHEN NOT stale THEN forecast END AS forecast FROM node_points JOIN node_facts USING (code))
+        WHERE date = {MONDAY} AND (historical IS NOT NULL OR forecast IS NOT NULL)) USING (code)""",
+    "node_facts",
+    "node_base",
+    "node_points",
+)
+part(
+    "node_weeks",
+    f"""SELECT code, count(*) AS n_weeks, min(date) AS first_week, sum({R("value", None, 1)}) AS total, sum({R(_Z, None, 2)}) AS z_total, count(*) FILTER (WHERE {_Z} >= 1) AS n_high FROM (
+        SELECT code, date, greatest(forecast, 0.0) AS value, mean, std FROM node_points JOIN node_facts USING (code) JOIN node_base USING (code)
+        WHERE NOT stale AND forecast IS NOT NULL AND date > {MONDAY} AND date <= CAST({MONDAY} + 28 AS DATE) AND date_diff('day', last_update, date) <= 56) GROUP BY 1""",
+    "node_points",
+    "node_facts",
+    "node_base",
+)
+part("left_out_ns", "SELECT series_id FROM combined_ns GROUP BY 1 HAVING count(*) % 4 = 0", "combined_ns")
+
 
+def nodes_of(spark, d):
+    """Places on the map: the series themselves, and in two regions also their nations."""
+    nation = tb.table(spark, d, "nation")
+    code = F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    seg = tb.table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg")).distinct()
+    known = nation.filter("n_nationkey % 11 <> 10").join(seg, "n_nationkey").withColumn("code", F.concat_ws("-", code, F.substring("seg", 1, 1)))
+    mapping = known.select(F.concat_ws("/", "n_name", "seg").alias("name"), "code")
+    upper = known.filter("n_regionkey IN (0, 2)")
+    parents = upper.select(F.col("code").alias("part_code"), code.alias("parent_code"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("parent_name"))
+    return hy.members(mapping.select(F.col("name").alias("series_id"), "name"), mapping, parents, show_parts=True)
 
-def stored(spark, d):
-    """Series and points written once, for queries that read them several times."""
-    series = cut_lineage(base_series(spark, d))
-    return series, cut_lineage(points(spark, d, series))
 
+def scored_nodes(spark, d):
+    series = base_series(spark, d)
+    facts = hy.series_facts(series)
+    nodes = nodes_of(spark, d)
+    return hy.published(points(spark, d, series), facts, nodes, tt.as_of()), nodes, series
 
-def status(spark, d):
-    series, pts = stored(spark, d)
-    return vw.status_map(pts, series, vw.staleness(series, tt.as_of()), tt.as_of())
 
+_FRESH = "CASE WHEN NOT stale THEN {} END"
 
-@query("status_map", sql("SELECT * FROM status", "status"))
+
+@query(
+    "status_map",
+    sql(
+        f"""SELECT code, name, parent, data_type, {_FRESH.format(R("value", None, 1))} AS value, {_FRESH.format("CASE WHEN value IS NOT NULL THEN " + R("z", None, 2) + " END")} AS zscore,
+            {_FRESH.format("CASE WHEN value IS NOT NULL THEN " + R("least(greatest(z / 2, 0), 1)") + " END")} AS score, {_FRESH.format("source")} AS source,
+            CASE WHEN stale THEN 'stale' WHEN z >= 1 THEN 'high' ELSE 'low' END AS status, stale, last_update, coalesce(n_weeks, 0) AS n_weeks, first_week,
+            {R("total", "weeks_total")}, {R("z_total", "weeks_zscore")}, coalesce(n_high, 0) AS n_high
+        FROM node_status LEFT JOIN node_weeks USING (code) WHERE stale OR value IS NOT NULL""",
+        "node_status",
+        "node_weeks",
+    ),
+)
 def status_map(spark, d):
-    return status(spark, d)
+    rows = hy.status_map(scored_nodes(spark, d)[0])
+    weeks = F.col("forecast_weeks")
+
+    def total(field):
+        return F.when(F.size(weeks) > 0, F.aggregate(weeks, F.lit(0.0), lambda a, w: a + w[field]))
+
+    return rows.select(
+        *[c for c in rows.columns if c != "forecast_weeks"],
+        F.size(weeks).cast("bigint").alias("n_weeks"),
+        F.get(weeks, F.lit(0))["date"].alias("first_week"),
+        total("value").alias("weeks_total"),
+        total("zscore").alias("weeks_zscore"),
+        F.size(F.filter(weeks, lambda w: w["status"] == "high")).cast("bigint").alias("n_high"),
+    )
 
 
-@query("latest_data_week", sql("SELECT max(last_update) AS latest_data_week FROM status", "status"))
+@query(
+    "latest_data_week",
+    sql(
+        "SELECT data_type, max(last_update) AS latest_data_week FROM node_status WHERE stale OR value IS NOT NULL GROUP BY ROLLUP (data_type)",
+        "node_status",
+    ),
+)
 def latest_data_week(spark, d):
-    return vw.latest_data_week(status(spark, d))
+    shown = hy.status_map(scored_nodes(spark, d)[0])
+    return shown.rollup("data_type").agg(F.max("last_update").alias("latest_data_week"))
 
 
 @query(
     "country_list",
     sql(
-        """SELECT series_id, series_id AS name, data_type, since, last_update, stale, coalesce(on_map, false) AS on_map FROM (
-            SELECT s.series_id, CASE i.current_type WHEN 1 THEN 'ARI' ELSE 'ILI' END AS data_type, s.last_update, s.stale FROM stale s JOIN info i USING (series_id))
-        LEFT JOIN (SELECT series_id, min(date) AS since FROM points WHERE historical IS NOT NULL GROUP BY 1) USING (series_id)
-        LEFT JOIN (SELECT series_id, true AS on_map FROM status) USING (series_id)""",
-        "stale",
-        "info",
-        "points",
-        "status",
+        """SELECT code, name, parent, data_type, since, last_update, stale, stale OR value IS NOT NULL AS on_map,
+            code IN (SELECT code FROM nodes JOIN left_out_ns USING (series_id)) AS excluded FROM node_status""",
+        "node_status",
+        "nodes",
+        "left_out_ns",
     ),
 )
 def country_list(spark, d):
-    series, pts = stored(spark, d)
-    stale, info = vw.staleness(series, tt.as_of()), vw.type_info(series)
-    details = stale.join(info, "series_id").select(
-        "series_id",
-        F.col("series_id").alias("name"),
-        vw.type_name(F.col("current_type")).alias("data_type"),
-        "last_update",
-        "stale",
-    )
-    shown = vw.status_map(pts, series, stale, tt.as_of(), info)
-    return vw.country_list(pts, details, shown)
+    scores, nodes, series = scored_nodes(spark, d)
+    left_out = series.groupBy("series_id").count().filter("count % 4 = 0")
+    return hy.country_list(scores, nodes, left_out)
 
 
 @query(

@@ -1,7 +1,6 @@
 """Daily refresh: guard, series, forecasts and published tables in one Spark job.
 
-Two tables are written on the way (weekly series and forecasts) because several later steps
-read them; everything else stays lazy.
+The tables that several later steps read (series, weeks, points and scores of the published places) are written once on the way.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from seriloom.functions import fixed_values as fv
 from seriloom.functions.storage import cut_lineage
 from seriloom.operators import forecast as fc
+from seriloom.operators import hierarchy as hy
 from seriloom.operators import series as se
 from seriloom.operators import views as vw
 from seriloom.sources import feed as fd
@@ -41,8 +41,12 @@ def verdict(new: DataFrame, previous: DataFrame | None) -> str:
     return fd.refresh_guard(new, previous).first()["verdict"]
 
 
-def publish(obs: DataFrame, as_of: Column, horizon: int = 8) -> Published:
-    """From observations to every published table."""
+def publish(obs: DataFrame, as_of: Column, horizon: int = 8, nodes: DataFrame | None = None, excluded: DataFrame | None = None) -> Published:
+    """From observations to every published table.
+
+    ``nodes`` says which series stand for which place on the map (``hierarchy.members``); without it every series is a place of
+    its own. Published rows carry their node's code, and the same as ``series_id``. ``excluded`` (series_id) is marked in the listing.
+    """
     series = cut_lineage(se.combine_indicators(obs))
     weekly = cut_lineage(se.zero_policy(se.weekly_resample(series), "floor"))
     origin = fc.random_walk_quantiles(
@@ -50,33 +54,34 @@ def publish(obs: DataFrame, as_of: Column, horizon: int = 8) -> Published:
     )
     layout = fc.forecast_layout(weekly, origin, "random_walk")
     starts = series.groupBy("series_id").agg(F.min("obs_date").alias("start"))
-    raw_points = cut_lineage(vw.series_points(layout, starts))
-
-    stale = vw.staleness(series, as_of)
-    info, types = vw.type_info(series), vw.type_map(series)
-    points = vw.suppress_stale(raw_points, stale).drop("stale")
-    status = vw.status_map(points, series, stale, as_of, info, types)
-    future = vw.future_weeks_view(points, vw.type_aware_baseline(points, types, info), stale, as_of)
-    facts = stale.join(info, "series_id").select(
-        "series_id",
-        F.col("series_id").alias("name"),
-        vw.type_name(F.col("current_type")).alias("data_type"),
-        "last_update",
-        "stale",
-    )
+    raw_points = vw.series_points(layout, starts)
+
+    known = cut_lineage(hy.series_facts(series))
+    nodes = hy.own_nodes(known) if nodes is None else nodes
+    facts = cut_lineage(hy.node_facts(known, nodes, as_of))
+    points = cut_lineage(hy.node_points(raw_points, known, nodes, as_of))
+    fresh = facts.select("code", "stale")
+    points = points.join(fresh, "code").withColumns({f: F.when(~F.col("stale"), F.col(f)) for f in vw.BAND}).drop("stale")
+    scores = cut_lineage(hy.node_scores(points, facts, as_of))
+    place = F.col("code").alias("series_id")
     return Published(
         series=series,
         weekly=weekly,
-        points=points,
-        status=vw.status_documents(status, future),
-        future=future,
-        details=vw.detail_documents(points, facts, se.type_changes(series)),
-        listing=vw.country_list(points, facts, status),
+        points=points.select(place, "*"),
+        status=hy.status_map(scores).select(place, "*"),
+        future=hy.future_weeks(scores).select(place, "*"),
+        details=hy.detail_documents(points, facts).select(place, "*"),
+        listing=hy.country_list(scores, nodes, excluded).select(place, "*"),
     )
 
 
 def refresh(
-    feed: DataFrame, previous: DataFrame | None, as_of: Column, horizon: int = 8
+    feed: DataFrame,
+    previous: DataFrame | None,
+    as_of: Column,
+    horizon: int = 8,
+    nodes: DataFrame | None = None,
+    excluded: DataFrame | None = None,
 ) -> tuple[str, Published | None]:
     """Guarded refresh: nothing is computed for an unchanged pull, a suspicious pull is an error."""
     decision = verdict(feed, previous)
@@ -85,4 +90,4 @@ def refresh(
     if decision in REFUSE:
         raise ValueError(f"feed refused by the guard: {decision}")
     obs = fd.to_observations(feed).select("series_id", "obs_date", "ili", "ari")
-    return decision, publish(obs, as_of, horizon)
+    return decision, publish(obs, as_of, horizon, nodes, excluded)
