@@ -110,29 +110,35 @@ def next_of(ids: DataFrame) -> DataFrame:
     return placed.select(*ids.columns, F.coalesce("previous", "before")["doc_id"].alias("next_id"))
 
 
-def _salted(rows: DataFrame, key: str) -> DataFrame:
+def _keyed(rows: DataFrame, key: str, salt: Column) -> DataFrame:
+    """``rows`` with the columns KEY: a doc_id, whether it is null, and a salt that parts the rows of the null one."""
+    return rows.withColumns({"key": F.coalesce(key, F.lit(0)), "absent": F.col(key).isNull(), "salt": salt})
+
+
+def _every_salt(rows: DataFrame, key: str) -> DataFrame:
     """Rows that each meet one salt of the null key's."""
     salts = F.when(F.col(key).isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("salt", F.explode(salts))
+    return _keyed(rows, key, F.explode(salts))
+
+
+KEY = ["key", "absent", "salt"]
 
 
 def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third is the beginning of the next document."""
-    text = F.coalesce("text", F.lit(""))
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(0).cast("int")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), salt.alias("salt"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = _keyed(given, "doc_id", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(0).cast("int"))
     third = F.expr("char_length(text) div 3").cast("int")
     ring = cut_lineage(next_of(given.groupBy("doc_id").agg(F.max(third).alias("most"))))
 
     # each document goes to the one before it: as much of its beginning as is needed there, and its sketch
-    wanted = _salted(ring.select(F.col("doc_id").alias("to"), "most", "next_id"), "next_id").withColumnRenamed("salt", "with")
-    sent = given.join(wanted, given["doc_id"].eqNullSafe(wanted["next_id"]) & (given["salt"] == wanted["with"]))
+    wanted = _every_salt(ring.select(F.col("doc_id").alias("to"), "most", "next_id"), "next_id").select("to", "most", *KEY)
+    sent = given.join(wanted, KEY)
     sent = sent.select("to", F.struct(F.expr("substring(text, 1, most)").alias("beginning"), sketch(F.col("text"), k).alias("sketch")).alias("following"))
-    sent = _salted(sent.groupBy("to").agg(F.min("following").alias("following")), "to").withColumnRenamed("salt", "with")
+    sent = _every_salt(sent, "to").groupBy(*KEY).agg(F.min("following").alias("following"))
 
-    met = given.join(sent, given["doc_id"].eqNullSafe(sent["to"]) & (given["salt"] == sent["with"]))
     edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 3), substring(following.beginning, 1, cast(char_length(text) div 3 as int)))")
-    met = met.select("doc_id", "text", edited.alias("edited"), F.col("following.sketch").alias("s_next"))
+    met = given.join(sent, KEY).select("doc_id", "text", edited.alias("edited"), F.col("following.sketch").alias("s_next"))
     made = met.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         sketch(F.col("text"), k).alias("s"), sketch(F.col("edited"), k).alias("s_edited"), "s_next",

@@ -1,16 +1,17 @@
 """Quality rules: counts of words, symbols and repeats, and perplexity bands by language.
 
-A modified Kneser-Ney letter model, whose histories cross word borders, is counted over all documents, and a document's
-perplexity per letter or space (case kept) is compared with its language's band. A band lies ``width`` robust deviations
-(scaled median distance from the median) below and above the median log-perplexity of the language's
-documents that pass the base rules, and never closer than ``least``; for a text of n words it is
-wider by the factor 1 + sqrt(SHORT / n), since a short text's perplexity varies more. Unlike a fixed
+Modified Kneser-Ney letter models, one for each language and half of its documents, are counted over all documents, and a document's
+perplexity per letter or space (case kept) by the model of the half it is not in is compared with a band. Bands are taken from
+the data, by language and length class (powers of two words): the median log-perplexity of the documents that pass the base
+rules, less ``width`` robust deviations of those below it, and plus as many of those above it (each at least ``least``);
+median and deviations of a class are drawn to the language's by as much as ``PRIOR`` documents weigh. Unlike a fixed
 share of documents, such a band rejects nothing from a clean corpus: only texts that are far from
 their language's usual range, in either direction, go.
 
 Edge cases: a null or empty text or one without words has zero counts and fails the base rule; a null
 language is a language of its own; a language without a document that passes the base rules has no band
-and rejects none by it; rows are independent, so repeated rows and null doc_ids are kept. Extra
+and rejects none by it; a document whose language has none in the other half gets a fixed perplexity; equal rows lie in the same half,
+copies under other doc_ids in either, so a text that many documents repeat counts as usual; repeated rows and null doc_ids are kept. Extra
 columns are ignored.
 """
 
@@ -19,19 +20,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
-from seriloom.llm import kneser_ney
+from seriloom.llm import ngram_arrays
 from seriloom.llm.batches import filled, hashes_of, mixed, owner_of, sums_between, words_of
 
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
-WIDTH = 6.0
-LEAST_HALF_BAND = 0.1
-SHORT = 25
+WIDTH = 5.0
+LEAST_HALF_BAND = 0.05
+PRIOR = 30  # documents that a language's own spread weighs against a length class's
 BINS = 200  # of a unit of log-perplexity
 SYMBOLS = "[#*$%&|<>]"
 
@@ -68,11 +69,12 @@ def repeated_lines(text: str) -> int:
 
 
 def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity), or all
-    columns of ``docs`` in one struct ``row`` in place of doc_id."""
+    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity), or in place of doc_id the other
+    columns of ``docs`` in one struct ``row``, and text."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    first = ["row", "text"] if whole else ["doc_id"]
 
-    def measure(batch, events, sizes, logs):
+    def measure(batch, events, logs):
         texts = filled(batch.column("text"))
         starts, codes, words = words_of(texts)
         chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
@@ -83,43 +85,61 @@ def measures(docs: DataFrame, whole: bool = False) -> DataFrame:
             np.array([repeated_lines(t) for t in texts.to_pylist()], np.int64),
             repeated_words(starts, hashes_of(words)[codes], REPEAT_WINDOW),
         ]
-        perplexity = -sums_between(logs[0], starts) / np.maximum(sums_between(sizes, starts), 1)
         return pa.RecordBatch.from_arrays(
-            [batch.column(first), batch.column("lang"), *[pa.array(c.astype(np.int64)) for c in counts], pa.array(perplexity)],
-            [first, "lang", *names, "log_perplexity"],
+            [*[batch.column(c) for c in [*first, "lang"]], *[pa.array(c.astype(np.int64)) for c in counts], pa.array(-logs / np.maximum(events, 1))],
+            [*first, "lang", *names, "log_perplexity"],
         )
 
-    first = "row" if whole else "doc_id"
-    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long")
-    given = docs.select(carried, F.col("lang").cast("string"), "text", F.lit(0).alias("group"))
-    schema = f"{first} {given.schema[first].dataType.simpleString()}, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
-    return kneser_ney.scored(given, measure, schema, fold_case=False, across=True)
+    lang, doc_id = F.col("lang").cast("string"), F.col("doc_id").cast("long")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    carried = F.struct(*others).alias("row") if whole else doc_id.alias("doc_id")
+    half = ngram_arrays.half_of(doc_id, F.col("text"))
+    given = docs.select(carried, lang.alias("lang"), "text", F.coalesce(lang, F.lit("")).alias("model_lang"), half.alias("half"))
+    head = f"row {given.schema['row'].dataType.simpleString()}, text string" if whole else "doc_id long"
+    schema = f"{head}, lang string, " + ", ".join(f"{c} long" for c in names) + ", log_perplexity double"
+    return ngram_arrays.scored(given, measure, schema)
+
+
+def length_class(n_words: Column) -> Column:
+    """Texts of 2**i to 2**(i + 1) - 1 words."""
+    return F.floor(F.log2(F.greatest(n_words, F.lit(1)))).cast("int")
 
 
 def bands(measured: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND) -> DataFrame:
-    """(lang, middle, half) of the bands of log-perplexity. Values are first counted by language and bin, so a language with
-    most of the documents is no hot key."""
+    """(of, size, low, high): the band of log-perplexity of each language and length class. Values are first counted by language, class
+    and bin, so a language with most of the documents is no hot key."""
+    counts = measured.select(F.coalesce("lang", F.lit("")).alias("of"), length_class(F.col("n_words")).alias("size"), F.round(F.col("log_perplexity") * BINS).alias("bin"))
+    counts = cut_lineage(counts.groupBy("of", "size", "bin").count())
+
+    def median(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5), F.col("count")).alias(name), F.sum("count").alias(f"n_{name}"))
+
+    def settled(rows: DataFrame, value: str, name: str) -> DataFrame:
+        """Medians of the classes, drawn to the language's by as much as ``PRIOR`` documents weigh."""
+        own, all_ = median(rows, ["of", "size"], value, "own"), median(rows, ["of"], value, "all")
+        drawn = (F.col("own") * F.col("n_own") + PRIOR * F.col("all")) / (F.col("n_own") + PRIOR)
+        return own.join(all_, "of").select("of", "size", drawn.alias(name))
+
+    middle = settled(counts, "bin", "middle")
+    far = counts.join(middle, ["of", "size"]).withColumn("above", F.col("bin") - F.col("middle"))
+    up = settled(far.filter("above >= 0"), "above", "up")
+    down = settled(far.filter("above <= 0").withColumn("below", -F.col("above")), "below", "down")
 
-    def weighted_median(bins: DataFrame, value: str) -> DataFrame:
-        return bins.groupBy("lang").agg((F.percentile(value, F.lit(0.5), F.col("count")) / BINS).alias("m"))
+    def half(spread: str) -> Column:
+        return F.greatest(F.lit(least), F.coalesce(spread, F.lit(0.0)) / BINS * 1.4826 * width)
 
-    lang = F.coalesce("lang", F.lit(""))
-    bins = measured.select(lang.alias("lang"), F.round(F.col("log_perplexity") * BINS).alias("bin")).groupBy("lang", "bin").count()
-    bins = cut_lineage(bins)
-    middle = weighted_median(bins, "bin")
-    far = bins.join(middle, "lang").withColumn("far", F.abs(F.col("bin") - F.col("m") * BINS))
-    spread = weighted_median(far, "far").withColumnRenamed("m", "mad")
-    half = F.greatest(F.lit(least), F.col("mad") * 1.4826 * width)
-    return middle.join(spread, "lang").select("lang", F.col("m").alias("middle"), half.alias("half"))
+    both = middle.join(up, ["of", "size"], "left").join(down, ["of", "size"], "left")
+    centre = F.col("middle") / BINS
+    return both.select("of", "size", (centre - half("down")).alias("low"), (centre + half("up")).alias("high"))
 
 
 def verdicts(spark: SparkSession, docs: DataFrame, width: float, least: float, whole: bool) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     measured = cut_lineage(measures(docs, whole).withColumn("base_failed", failed))
-    limits = cut_lineage(bands(measured.filter("NOT base_failed"), width, least).withColumnRenamed("lang", "of"))  # a known, small size
-    joined = measured.join(limits, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
-    wide = F.col("half") * (1 + F.sqrt(SHORT / F.greatest("n_words", F.lit(1))))
-    inside = F.coalesce(F.abs(F.col("log_perplexity") - F.col("middle")) <= wide, F.lit(True))
+    limits = cut_lineage(bands(measured.filter("NOT base_failed"), width, least))
+    same = (F.coalesce("lang", F.lit("")) == F.col("of")) & (length_class(F.col("n_words")) == F.col("size"))
+    joined = measured.join(limits, same, "left")
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -132,4 +152,5 @@ def judge(spark: SparkSession, docs: DataFrame, width: float = WIDTH, least: flo
 
 def accepted(spark: SparkSession, docs: DataFrame, width: float = WIDTH, least: float = LEAST_HALF_BAND) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return verdicts(spark, docs, width, least, True).filter("kept").select("row.*")
+    kept = verdicts(spark, docs, width, least, True).filter("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
