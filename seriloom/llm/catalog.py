@@ -49,8 +49,7 @@ def op1(spark, sf_dir):
 @query("op2_token_counts")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = docs.withColumn("sections", token_counts.line_sections(F.col("text")))
-    counted = token_counts.count_tokens(cut, vocabulary(), pattern(), "start")
+    counted = token_counts.count_tokens(docs, vocabulary(), pattern(), "start")
     whole = F.transform("section_tokens", lambda x: x.cast("long"))
     return counted.select(
         "doc_id",

@@ -23,6 +23,7 @@ doc_ids are kept; sections that overlap or run backwards are an error. Extra col
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +34,21 @@ from seriloom.llm.bpe import _encoder
 RULES = ("start", "end", "majority", "share")
 
 
+def line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Half-open character spans of the lines of a text, each with the line end that closes it; linear in the text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.concatenate([[0], np.flatnonzero(points == 10) + 1])
+    return starts, np.append(starts[1:], len(points))
+
+
 def line_sections(text: Column) -> Column:
-    """Half-open character spans of the lines of a text, each with the line end that closes it."""
-    lengths = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(x) + 1)
-    total = F.length(F.coalesce(text, F.lit("")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda s, n: F.struct(
-            (s["at"] + n).alias("at"),
-            F.concat(
-                s["spans"], F.array(F.struct(s["at"].alias("start"), F.least(s["at"] + n, total).alias("end")))
-            ).alias("spans"),
-        ),
-    )
-    return spans["spans"]
+    """``line_spans`` as a column of sections for ``count_tokens``."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": int(a), "end": int(z)} for a, z in zip(*line_spans(t or ""))] for t in texts], dtype=object)
+
+    return spans(F.coalesce(text, F.lit("")))
 
 
 def char_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,8 @@ def allocate(
 def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, rule: str = "start") -> DataFrame:
     """(doc_id, n_tokens, n_crossing, outside, section_tokens) of ``docs(doc_id, text, sections)``.
 
-    ``sections`` is an array of structs whose fields ``start`` and ``end`` are character positions.
+    ``sections`` is an array of structs whose fields ``start`` and ``end`` are character positions; without that column, the
+    sections are the lines of the text, found in the task that counts.
     ``section_tokens`` is an array of doubles; under all rules but ``share`` they are whole numbers.
     """
     if rule not in RULES:
@@ -113,19 +114,19 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, rule: str
                 encoder = _encoder(vocabulary, pattern)
                 sizes = np.array([len(encoder.decode_single_token_bytes(i)) for i in range(encoder.n_vocab)])
             n_tokens, crossing, outside, counts = [], [], [], []
-            spans = batch.column("sections")
-            bounds = spans.flatten()
-            edges = [
-                bounds.field(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                for name in ("start", "end")
-            ]
-            at = spans.offsets.to_numpy() - spans.offsets[0].as_py()
+            spans = batch.column("sections") if "sections" in batch.schema.names else None
+            if spans is not None:
+                bounds = spans.flatten()
+                edges = [
+                    bounds.field(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for name in ("start", "end")
+                ]
+                at = spans.offsets.to_numpy() - spans.offsets[0].as_py()
             for i, text in enumerate(filled(batch.column("text")).to_pylist()):
                 ids = np.array(encoder.encode_ordinary(text), np.int64)
                 first, end = char_spans(text, sizes[ids]) if len(ids) else (ids, ids)
-                own, rest, over = allocate(
-                    first, end, edges[0][at[i] : at[i + 1]], edges[1][at[i] : at[i + 1]], rule
-                )
+                sections = line_spans(text) if spans is None else [e[at[i] : at[i + 1]] for e in edges]
+                own, rest, over = allocate(first, end, *sections, rule)
                 n_tokens.append(len(ids))
                 crossing.append(over)
                 outside.append(rest)
@@ -141,13 +142,12 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, rule: str
                 ["doc_id", "n_tokens", "n_crossing", "outside", "section_tokens"],
             )
 
-    given = docs.select(
-        F.col("doc_id").cast("long"),
-        "text",
-        F.transform(
+    given = docs.select(F.col("doc_id").cast("long"), "text")
+    if "sections" in docs.columns:
+        spans = F.transform(
             F.coalesce("sections", F.array().cast("array<struct<start:int,end:int>>")),
             lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")),
-        ).alias("sections"),
-    )
+        )
+        given = docs.select(F.col("doc_id").cast("long"), "text", spans.alias("sections"))
     schema = "doc_id long, n_tokens long, n_crossing long, outside double, section_tokens array<double>"
     return given.mapInArrow(count, schema)

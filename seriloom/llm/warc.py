@@ -7,15 +7,18 @@ the greatest page_id is the response and the others revisit it. A record is text
 the text writer with a record's closing line ends as separator makes valid archives, gzipped, on any
 file system that Spark can write to.
 
-Reading. Every archive is one row (its size is bounded by ``records_per_archive``); a task walks
-through its records by their Content-Length, so no byte of a payload is taken for a boundary.
+A capture's records are named by page, digest and row number, so equal rows are captures of their own. Pages are read twice (for the
+digests, and to be written), and must come in the same order: a stored table.
+
+Reading. Every archive is one row (its size is bounded by ``records_per_archive`` and ``SIZES``: about 200 MB, or one larger page);
+a task walks through its records by their Content-Length, so no byte of a payload is taken for a boundary.
 
 Assembly. Records of a capture are brought together by the record that they are concurrent to, and
 each capture is one nested row.
 
 Edge cases: a null html is an empty payload; a null url leaves WARC-Target-URI out, white space and
 control characters of a url are percent-encoded; a null page_id is written as such and comes back
-null; rows with the same page_id and payload are one capture; an empty table gives no capture. Extra
+null; repeated rows are captures of their own, both responses if no greater page_id has the payload; an empty table gives no capture. Extra
 columns are ignored.
 """
 
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 
 LEAST_BYTES = 0
 RECORDS_PER_ARCHIVE = 3_000
+#: Pages up to so many bytes share an archive of the usual number of records, larger ones of a part of it, so that an archive's bytes are bounded.
+SIZES = [(1 << 16, 1), (1 << 22, 64), (1 << 62, 1_000)]
 CAPTURED_AT = "2024-01-01T00:00:00Z"
 SCHEME = "urn:capture:"
 
@@ -51,14 +56,15 @@ def sha1_base32(text: Column) -> Column:
 
 
 def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, payload, n_bytes, digest, original) of ``pages(page_id, url, html)``; original is
-    the page_id that a revisit refers to, null for a response."""
+    """(page_id, url, row, payload, n_bytes, digest, original, original_row) of ``pages(page_id, url, html)``; original is the
+    page_id of the response that a revisit refers to, and null for a response."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.monotonically_increasing_id().alias("row"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("n_bytes"), sha1_base32(F.col("payload")).alias("digest"))
-    newest = rows.filter(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("newest"))
+    newest = rows.filter(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(F.max(F.struct("page_id", "row")).alias("newest"))
     joined = rows.join(newest, ["digest", "n_bytes"], "left")
-    return joined.withColumn("original", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))).drop("newest")
+    original = F.when(~F.col("page_id").eqNullSafe(F.col("newest.page_id")), F.col("newest"))
+    return joined.withColumns({"original": original["page_id"], "original_row": original["row"]}).drop("newest")
 
 
 def _record(kind: str, record_id: Column, fields: list[tuple[str, Column]], content_type: str, block: Column) -> Column:
@@ -73,7 +79,7 @@ def records(plan: DataFrame) -> DataFrame:
     """(value): the text of every record."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     digest = F.col("digest")
-    base = F.concat(F.lit(SCHEME), page, F.lit(":"), digest)
+    base = F.concat(F.lit(SCHEME), page, F.lit(":"), digest, F.lit(":"), F.col("row").cast("string"))
     own, about = F.concat(base, F.lit(":response")), [("WARC-Concurrent-To", F.concat(F.lit("<"), base, F.lit(":response>")))]
     clean = F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")
     uri = [("WARC-Target-URI", clean)]
@@ -82,7 +88,7 @@ def records(plan: DataFrame) -> DataFrame:
     asked = F.concat(F.lit("GET "), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     named = [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest))]
-    refers = F.concat(F.lit(f"<{SCHEME}"), F.col("original").cast("string"), F.lit(":"), digest, F.lit(":response>"))
+    refers = F.concat(F.lit(f"<{SCHEME}"), F.col("original").cast("string"), F.lit(":"), digest, F.lit(":"), F.col("original_row").cast("string"), F.lit(":response>"))
     answer = F.when(
         F.col("original").isNull(),
         _record("response", own, [*uri, *named], "application/http;msgtype=response", F.concat(http, F.col("payload"))),
@@ -96,8 +102,17 @@ def records(plan: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    made = records(planned(pages, least_bytes))
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+    """Archives of the pages, in passes by size of page; a pass reads and shuffles the payloads of its pages alone."""
+    plan = planned(pages, least_bytes)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    most = pages.agg(F.max(size)).first()[0] or 0
+    below = -1
+    for bound, part in SIZES:
+        if below < most or below < 0:
+            made = records(plan.filter((F.col("n_bytes") > below) & (F.col("n_bytes") <= bound)))
+            writer = made.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip")
+            writer.option("maxRecordsPerFile", max(records_per_archive // part, 1)).text(path)
+        below = bound
 
 
 def walk(data: bytes):

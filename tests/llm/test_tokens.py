@@ -1,11 +1,13 @@
 """Byte-level BPE and token counts against whole-text encoding."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seriloom.llm import bpe, catalog, token_counts
 from tests.llm import brute
@@ -129,3 +131,16 @@ def test_count_query(spark, documents):
             n, _, counts = plain_counts(text or "", lines, "start")
             assert got[i].n_tokens == n and got[i].section_tokens == ",".join(str(int(x)) for x in counts)
             assert got[i].n_sections == len(lines) and got[i].largest_section == max(counts)
+
+
+def test_a_million_lines_in_seconds(spark):
+    text = "ab\n" * 1_000_000 + "end"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "\n"), (4, "ü\n🙂 x")], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in token_counts.count_tokens(docs, catalog.vocabulary(), catalog.pattern()).collect()}
+    assert time.time() - began < 60
+    assert len(rows[1].section_tokens) == 1_000_001 and sum(rows[1].section_tokens) == rows[1].n_tokens
+    assert len(rows[2].section_tokens) == 1 and len(rows[3].section_tokens) == 2
+    given = docs.filter("doc_id > 1").withColumn("sections", token_counts.line_sections(F.col("text")))
+    same = {r.doc_id: r for r in token_counts.count_tokens(given, catalog.vocabulary(), catalog.pattern()).collect()}
+    assert all(same[i] == rows[i] for i in (2, 3, 4))
