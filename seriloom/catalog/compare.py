@@ -233,7 +233,7 @@ part(
 )
 
 
-@query("simple_rwis", sql(f"SELECT model, {R('avg(wis) / nullif(avg(bw), 0)', 'rwis')}, count(*) AS n FROM vs_base GROUP BY 1", "vs_base"))
+@query("simple_rwis", sql(f"SELECT model, {R('avg(wis) / nullif(avg(bw), 0)', 'rwis')}, count(*) AS n, {R('avg(cov50)', 'coverage_50')}, {R('avg(cov90)', 'coverage_90')} FROM vs_base GROUP BY 1", "vs_base"))
 def simple_rwis(spark, d):
     return cm.simple_rwis(hub_scores(spark, d), BASE)
 
@@ -250,8 +250,10 @@ part(
 @query(
     "pairwise_rwis",
     sql(
-        f"""SELECT model, {R("theta", "theta")}, {R(f"theta / coalesce((SELECT max(theta) FROM theta WHERE model = '{BASE}'), 1)", "pairwise_rwis")}, n_models FROM theta""",
+        f"""SELECT model, {R("theta", "theta")}, {R(f"theta / coalesce((SELECT max(theta) FROM theta WHERE model = '{BASE}'), 1)", "pairwise_rwis")}, n_models, coverage_50, coverage_90
+        FROM theta JOIN (SELECT model, {R("avg(cov50)", "coverage_50")}, {R("avg(cov90)", "coverage_90")} FROM hub_scores GROUP BY 1) USING (model)""",
         "theta",
+        "hub_scores",
     ),
 )
 def pairwise_rwis(spark, d):
@@ -307,15 +309,16 @@ part(
 @query(
     "season_ranking",
     sql(
-        f"""SELECT season, rank() OVER (PARTITION BY season ORDER BY pw) AS rank, model, {R("pw", "pairwise_rwis")}
-        FROM (SELECT t.season, t.model, t.theta / coalesce(b.theta, 1) AS pw FROM theta_y t LEFT JOIN theta_y b ON b.season = t.season AND b.model = '{BASE}')""",
+        f"""SELECT season, rank() OVER (PARTITION BY season ORDER BY pw) AS rank, model, {R("pw", "pairwise_rwis")}, coverage_50, coverage_90
+        FROM (SELECT round[1:4] AS season, model, {R("avg(cov50)", "coverage_50")}, {R("avg(cov90)", "coverage_90")} FROM hub_scores GROUP BY 1, 2) JOIN (SELECT t.season, t.model, t.theta / coalesce(b.theta, 1) AS pw FROM theta_y t LEFT JOIN theta_y b ON b.season = t.season AND b.model = '{BASE}') USING (season, model)""",
         "theta_y",
+        "hub_scores",
     ),
 )
 def season_ranking(spark, d):
     scored = hub_scores(spark, d).withColumn("season", F.substring("round", 1, 4))
     return cm.season_ranking(cm.pairwise_rwis(scored, BASE, by=["season"])).select(
-        "season", "rank", "model", "pairwise_rwis"
+        "season", "rank", "model", "pairwise_rwis", "coverage_50", "coverage_90"
     )
 
 

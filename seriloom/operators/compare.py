@@ -179,8 +179,16 @@ def against_baseline(scores: DataFrame, baseline: str) -> DataFrame:
     return scores.join(base, ["round", "h"])
 
 
+COVERAGE = {"cov50": "coverage_50", "cov90": "coverage_90"}
+
+
+def coverage_of(scores: DataFrame) -> list[Column]:
+    """Shares of scores inside each interval, for the flags that ``scores`` has."""
+    return [F.avg(flag).alias(name) for flag, name in COVERAGE.items() if flag in scores.columns]
+
+
 def simple_rwis(scores: DataFrame, baseline: str) -> DataFrame:
-    """Per model: mean WIS over the baseline's mean WIS on common keys, with coverage."""
+    """Per model: mean WIS over the baseline's mean WIS on common keys, with the coverage of both intervals there."""
     return (
         against_baseline(scores, baseline)
         .groupBy("model")
@@ -188,8 +196,14 @@ def simple_rwis(scores: DataFrame, baseline: str) -> DataFrame:
             F.avg("wis").alias("mean_wis"),
             F.avg("baseline_wis").alias("mean_baseline_wis"),
             F.count("*").alias("n"),
+            *coverage_of(scores),
+        )
+        .select(
+            "model",
+            (F.col("mean_wis") / F.nullif("mean_baseline_wis", F.lit(0.0))).alias("rwis"),
+            "n",
+            *[name for flag, name in COVERAGE.items() if flag in scores.columns],
         )
-        .select("model", (F.col("mean_wis") / F.nullif("mean_baseline_wis", F.lit(0.0))).alias("rwis"), "n")
     )
 
 
@@ -209,27 +223,23 @@ def horizon_rwis_models(scores: DataFrame, baseline: str, models: list[str] | No
     )
 
 
-def model_pairs(
-    scores: DataFrame, min_common: int = fv.MIN_COMMON_KEYS, by: list[str] | None = None
-) -> DataFrame:
-    """(by..., m, other, ratio, n): mean-WIS ratio on the keys two models share.
+def key_sets(scores: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(models, sets): the key set of each model as a bitmap, and the distinct bitmaps with their keys.
 
-    Scores are gathered per key first (a key holds one score per model) and pairs are opened in
-    place and summed map-side, so the only thing shuffled after that is one row per pair and task.
+    Keys (round, h) are numbered within their group, and a model's keys become bits. Models that submitted on the same occasions share a
+    bitmap, so there are far fewer bitmaps than models. ``models`` is (by..., model, keys), ``sets`` (by..., keys, round, h).
     """
-    keys = by or []
-    per_key = scores.groupBy(*keys, "round", "h").agg(F.collect_list(F.struct("model", "wis")).alias("s"))
-    pairs = (
-        per_key.select(*keys, F.explode("s").alias("a"), "s")
-        .select(*keys, "a", F.explode("s").alias("b"))
-        .filter(F.col("a.model") != F.col("b.model"))
-    )
-    return (
-        pairs.groupBy(*keys, F.col("a.model").alias("m"), F.col("b.model").alias("other"))
-        .agg(F.avg("a.wis").alias("mean_m"), F.avg("b.wis").alias("mean_other"), F.count("*").alias("n"))
-        .filter((F.col("n") >= min_common) & (F.col("mean_other") > 0))
-        .select(*keys, "m", "other", (F.col("mean_m") / F.col("mean_other")).alias("ratio"), "n")
-    )
+    group = by or []
+    occasions = scores.select(*group, "round", "h").distinct()
+    numbered = occasions.withColumn("bit", F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy("round", "h")) - 1)
+    bits = scores.select(*group, "model", "round", "h").join(numbered, [*group, "round", "h"])
+    part, place = F.bitmap_bucket_number("bit"), F.bitmap_bit_position("bit")
+    maps = bits.groupBy(*group, "model", part.alias("part")).agg(F.bitmap_construct_agg(place).alias("map"))
+    spelt = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("part", F.hex("map").alias("map"))))), 256)
+    models = maps.groupBy(*group, "model").agg(spelt.alias("keys"))
+    holder = models.groupBy(*group, "keys").agg(F.min("model").alias("model"))
+    sets = bits.join(holder, [*group, "model"]).select(*group, "keys", "round", "h")
+    return models, sets
 
 
 def pairwise_rwis(
@@ -238,21 +248,39 @@ def pairwise_rwis(
     min_common: int = fv.MIN_COMMON_KEYS,
     by: list[str] | None = None,
 ) -> DataFrame:
-    """Geometric mean of pair ratios per model, divided by the baseline's own (1 if it has none).
+    """Geometric mean of the ratios of a model's mean WIS to every other model's on their common keys, divided by the baseline's
+    own (1 if it has none), with the model's coverage. ``by`` repeats the comparison within groups such as seasons.
 
-    ``by`` repeats the comparison within groups such as seasons.
+    No pair of models is opened. The common keys of two models are those of one within the key set of the other, so means are
+    taken for each model and distinct key set; and the sum of ln(ratio) over all models of a set S is their number
+    times ln(mean on S) less a sum that belongs to S and the model's own set alone.
     """
-    keys = by or []
+    group = by or []
+    models, sets = key_sets(scores, group)
+    on = scores.select(*group, "model", "round", "h", "wis").join(sets.withColumnRenamed("keys", "other"), [*group, "round", "h"])
+    means = on.groupBy(*group, "model", "other").agg(F.avg("wis").alias("mean"), F.count("*").alias("n"))
+    means = means.filter(F.col("n") >= min_common).join(models, [*group, "model"])
+    # the other side of the ratio: models of a set, by their means on mine
+    theirs = means.filter(F.col("mean") > 0).groupBy(*group, F.col("keys").alias("set_"), F.col("other").alias("mine"))
+    theirs = theirs.agg(F.count("*").alias("k"), F.sum(F.ln("mean")).alias("ln_theirs"))
+    own = F.col("keys") == F.col("other")
+    met = means.withColumns({"set_": F.col("other"), "mine": F.col("keys")}).join(theirs, [*group, "set_", "mine"])
+    # a model is no rival of its own; its ratio of 1 adds nothing to the sum
+    rivals = F.col("k") - F.when(own & (F.col("mean") > 0), 1).otherwise(0)
+    known = F.col("mean") > 0
+    gain = F.when(known, F.col("k") * F.ln("mean") - F.col("ln_theirs"))
     theta = (
-        model_pairs(scores, min_common, keys)
-        .groupBy(*keys, F.col("m").alias("model"))
-        .agg(F.exp(F.avg(F.ln("ratio"))).alias("theta"), F.count("*").alias("n_models"))
+        met.groupBy(*group, "model")
+        .agg(F.sum(gain).alias("gain"), F.sum(F.when(known, rivals)).alias("k"), F.sum(rivals).alias("n_models"))
+        .filter("n_models > 0")
+        .select(*group, "model", F.exp(F.col("gain") / F.nullif("k", F.lit(0))).alias("theta"), "n_models")
     )
+    hits = scores.groupBy(*group, "model").agg(F.count("*").alias("n_scores"), *coverage_of(scores))
     # one row per model: the baseline's value is spread by a window over this small table
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    base = F.max(F.when(F.col("model") == baseline, F.col("theta"))).over(group)
-    return theta.withColumn("_b", F.coalesce(base, F.lit(1.0))).select(
-        *keys, "model", "theta", (F.col("theta") / F.col("_b")).alias("pairwise_rwis"), "n_models"
+    window = Window.partitionBy(*(group or [F.lit(0)]))
+    base = F.max(F.when(F.col("model") == baseline, F.col("theta"))).over(window)
+    return theta.join(hits, [*group, "model"]).withColumn("_b", F.coalesce(base, F.lit(1.0))).select(
+        *group, "model", "theta", (F.col("theta") / F.col("_b")).alias("pairwise_rwis"), "n_models", *hits.columns[len(group) + 2 :]
     )
 
 
@@ -288,7 +316,7 @@ def experiment_grid(spark: SparkSession, covariates: list[str] | None = None) ->
     names = F.array(*[F.lit(c) for c in covs])
     short = F.array(*[F.lit(fv.COVARIATE_SHORT.get(c, c)) for c in covs])
     picked = F.filter(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.expr(f"1") == F.getbit(F.col("mask"), i)
+        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.lit(1) == F.getbit(F.col("mask"), i)
     )
     subsets = spark.range(2**k).withColumnRenamed("id", "mask").withColumn("at", picked)
     subsets = subsets.select(

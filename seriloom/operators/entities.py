@@ -29,13 +29,25 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(GRAM))))
 
 
+def _by_rarest(queries: DataFrame, tokens: Column, index: DataFrame) -> DataFrame:
+    """Each query with the names that hold its rarest token. ``index`` is (key, code, name, first_seen).
+
+    A token that no name holds ends the search of its query, and a frequent one is only looked up if the query has no rarer.
+    """
+    frequency = index.groupBy("key").agg(F.count("*").alias("names"))
+    asked = queries.select("query", F.explode(tokens).alias("key"))
+    known = asked.join(frequency, "key", "left").withColumn("names", F.coalesce("names", F.lit(0)))
+    rarest = known.groupBy("query").agg(F.min(F.struct("names", "key")).alias("r")).filter("r.names > 0")
+    return rarest.select("query", F.col("r.key").alias("key")).join(index, "key")
+
+
 def resolve_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(query, code, name, rule): exact code, exact name, whole words, then substring.
 
-    All four rules are equi-joins. A whole-word hit must share the query's first word with the
-    name, and a substring hit must share its first three characters, so candidates come from an
-    inverted word list and an inverted three-character list; each candidate is then checked in
-    full. The best (rule, feed position) per query is a two-phase minimum, not a sort.
+    All four rules are equi-joins. A whole-word hit holds all words of the query, and a substring hit all its runs of three
+    characters, so candidates come from an inverted list of words and one of such runs, looked up by the token of the query that
+    the fewest names hold; each candidate is then checked in full. A word that begins a hundred thousand names costs
+    nothing unless it is all there is of a query. The best (rule, feed position) per query is a two-phase minimum, not a sort.
     """
     q = queries.select("query").distinct()
     ent = entities.select("code", "name", "first_seen")
@@ -47,20 +59,10 @@ def resolve_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
     # quoting keeps the query literal; (?U) makes word boundaries and case folding Unicode-aware
     whole = F.concat(F.lit(r"(?iU)\b\Q"), F.replace("query", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
     words = ent.withColumn("key", F.explode(_words(F.col("name"))))
-    by_word = (
-        q.withColumn("key", F.get(_words(F.col("query")), F.lit(0)))
-        .join(words, "key")
-        .filter(F.regexp_like("name", whole))
-        .withColumn("rule", F.lit(3))
-    )
+    by_word = _by_rarest(q, _words(F.col("query")), words).filter(F.regexp_like("name", whole)).withColumn("rule", F.lit(3))
     grams = ent.withColumn("key", F.explode(_grams(F.col("name"))))
-    by_part = (
-        q.filter(F.length("query") >= GRAM)
-        .withColumn("key", F.substring(low_q, 1, GRAM))
-        .join(grams, "key")
-        .filter(F.contains(low_n, low_q))
-        .withColumn("rule", F.lit(4))
-    )
+    long = q.filter(F.length("query") >= GRAM)
+    by_part = _by_rarest(long, _grams(F.col("query")), grams).filter(F.contains(low_n, low_q)).withColumn("rule", F.lit(4))
     columns = ["query", "rule", "first_seen", "code", "name"]
     found = by_code.select(columns)
     for part in (by_name, by_word, by_part):
