@@ -131,17 +131,18 @@ def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     third = F.expr("char_length(text) div 3").cast("int")
     ring = cut_lineage(next_of(given.groupBy("doc_id").agg(F.max(third).alias("most"))))
 
+    # both joins use the same columns of ``given``, so its one exchange serves them both
     # each document goes to the one before it: as much of its beginning as is needed there, and its sketch
     wanted = _every_salt(ring.select(F.col("doc_id").alias("to"), "most", "next_id"), "next_id").select("to", "most", *KEY)
     sent = given.join(wanted, KEY)
-    sent = sent.select("to", F.struct(F.expr("substring(text, 1, most)").alias("beginning"), sketch(F.col("text"), k).alias("sketch")).alias("following"))
+    sent = sent.select("to", F.struct(F.expr("substring(text, 1, most)").alias("beginning"), sketch(F.col("text"), k).alias("sketch"), F.col("doc_id").alias("next_id")).alias("following"))
     sent = _every_salt(sent, "to").groupBy(*KEY).agg(F.min("following").alias("following"))
 
     edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 3), substring(following.beginning, 1, cast(char_length(text) div 3 as int)))")
-    met = given.join(sent, KEY).select("doc_id", "text", edited.alias("edited"), F.col("following.sketch").alias("s_next"))
+    met = given.join(sent, KEY).select("doc_id", "text", edited.alias("edited"), F.col("following.sketch").alias("s_next"), F.col("following.next_id").alias("next_id"))
     made = met.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        sketch(F.col("text"), k).alias("s"), sketch(F.col("edited"), k).alias("s_edited"), "s_next",
+        sketch(F.col("text"), k).alias("s"), sketch(F.col("edited"), k).alias("s_edited"), "s_next", "next_id",
     )
     s, s_edited, s_next = F.col("s"), F.col("s_edited"), F.col("s_next")
     return made.select(
@@ -154,6 +155,7 @@ def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
         resemblance(s, s_next, k).alias("near_next"),
         F.round(distinct(s, k)).cast("long").alias("n_shingles"),
         containment(s, s_edited, k).alias("held_by_edited"),
+        "next_id",
     )
 
 
@@ -187,6 +189,6 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '
       ELSE {k - 1} * {RANGE!r}::DOUBLE / greatest(('0x' || se[{k}])::BIGINT, 1) END AS du FROM united
 )
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s, '') AS fingerprint, array_to_string(e, '') AS edited_fingerprint,
-  near_edited, near_next, round(d)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN 1.0::DOUBLE ELSE least(near_edited * du / d, 1.0::DOUBLE) END AS held_by_edited
+  near_edited, near_next, round(d)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN 1.0::DOUBLE ELSE least(near_edited * du / d, 1.0::DOUBLE) END AS held_by_edited, next_id
 FROM figures
 """
