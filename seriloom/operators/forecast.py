@@ -1,15 +1,15 @@
 """Probabilistic forecasts for every series and every rolling cutoff at once.
 
-``rolling_points`` makes one pass of windows over the weekly table (one exchange, one sort) and
-puts everything a cutoff needs on its own row: last value, pools of past differences, values a
-season ago, and the actuals to be scored. Forecasting and scoring are then row-local.
+``rolling_points`` makes one pass over the weekly table (one exchange, one sort), holds each series as
+one array in time order, and puts everything an evaluated cutoff needs on a row of its own: last value, pools
+of past differences, values a season ago, and the actuals to be scored. Forecasting and scoring are then row-local.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
@@ -33,21 +33,33 @@ def symmetric(pool: Column) -> Column:
     return F.concat(pool, F.transform(pool, lambda d: -d))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """One row per series with each column as an array in time order: at most one element a week."""
+    names = [c for c in rows.columns if c not in ("series_id", "idx")]
+    packed = rows.groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("idx", *[F.col(f"`{c}`") for c in names]))).alias("_rows")
+    )
+    return packed.select("series_id", *[F.col("_rows")[c].alias(c) for c in ["idx", *names]])
+
+
+def stretch(column: str, end: Column, length: int | None) -> Column:
+    """Known values among the ``length`` elements of an array before position ``end`` (None: all of them)."""
+    first = F.lit(0) if length is None else F.greatest(end - length, F.lit(0))
+    return F.array_compact(F.slice(column, first + 1, end - first))
+
+
 def diff_pool(weekly: DataFrame, history: int | None = fv.HISTORY_WEEKS) -> DataFrame:
     """(series_id, cutoff, last_value, pool): symmetric one-step differences before each cutoff.
 
-    Cutoff c uses the rows before c; pools with fewer than four differences are left out.
+    Cutoff c uses the rows before c; pools with fewer than four differences are left out. Every pool is a
+    stretch of the series' one array, so no frame slides over the rows.
     """
-    first = 1 - history if history is not None else Window.unboundedPreceding
-    w = by_week()
-    steps = weekly.withColumn("_d", F.col("value") - F.lag("value").over(w))
-    pooled = steps.withColumn("_pool", F.collect_list("_d").over(w.rowsBetween(first, 0)))
-    return pooled.filter(F.col("value").isNotNull() & (F.size("_pool") >= fv.MIN_POOL)).select(
-        "series_id",
-        (F.col("idx") + 1).alias("cutoff"),
-        F.col("value").alias("last_value"),
-        symmetric(F.col("_pool")).alias("pool"),
-    )
+    steps = weekly.select("series_id", "idx", "value", (F.col("value") - F.lag("value").over(by_week())).alias("d"))
+    series = in_order(steps)
+    at = F.col("at")
+    cuts = series.select("*", F.posexplode("value").alias("at", "last_value")).filter("last_value IS NOT NULL")
+    pooled = cuts.select("series_id", (F.get("idx", at) + 1).alias("cutoff"), "last_value", stretch("d", at + 1, history).alias("pool"))
+    return pooled.filter(F.size("pool") >= fv.MIN_POOL).withColumn("pool", symmetric(F.col("pool")))
 
 
 def rolling_points(
@@ -67,55 +79,53 @@ def rolling_points(
     step actually predicts). Rows whose target is missing or off-season, or whose last context
     value is missing, are not evaluated. Extra columns of ``weekly`` (such as ``phase``) are
     carried as arrays next to the actuals.
+
+    The columns of a series become arrays in time order; the evaluated rows are picked first, and only
+    for them are pools cut out of the arrays, as stretches of any length. ``start`` and ``end`` are literals.
     """
     w = by_week()
     H = horizon
     base = weekly if "threshold" in weekly.columns else with_threshold(weekly)
-    base = base.withColumn("_d1", F.col("value") - F.lag("value").over(w)).withColumn(
-        "_ds", F.col("value") - F.lag("value", fv.SEASON_WEEKS).over(w)
-    )
-    for h in range(2, H + 1):
-        base = base.withColumn(f"_d{h}", F.col("value") - F.lag("value", h).over(w))
-    base = base.withColumn("_n", F.count("*").over(whole_series()))
-    if history is not None:
-        # rows too old for any evaluated cutoff leave before the sliding frames are built
-        reach = window + H + max(history, fv.SEASON_WEEKS) + 1
-        base = base.filter(F.col("idx") >= F.col("_n") - reach)
-    first = -(H + history) if history is not None else Window.unboundedPreceding
-    past = w.rowsBetween(first, -(H + 1))
-
-    def back(column: str, steps: int) -> Column:
-        return F.lag(column, steps).over(w) if steps > 0 else F.col(column)
-
+    lags = {"_ds": fv.SEASON_WEEKS, **{f"_d{h}": h for h in range(1, H + 1)}}
+    steps = base.withColumns({name: F.col("value") - F.lag("value", k).over(w) for name, k in lags.items()})
+    series = in_order(steps)
+    at = F.col("_at")
+    n = F.size("value")
     hs = range(1, H + 1)
     scored_at = [H - h + (1 - target_offset) for h in hs]
-    columns = {
+
+    def back(column: str, steps: int, here: Column = at) -> Column:
+        return F.get(f"`{column}`", here - steps)
+
+    def evaluated(here: Column) -> Column:
+        keep = back("value", 0, here).isNotNull() & back("value", H + 1, here).isNotNull()
+        if threshold:
+            keep = keep & (back("value", 0, here) >= back("threshold", 0, here))
+        if start is not None:
+            keep = keep & (back("week", 0, here) >= start)
+        if end is not None:
+            keep = keep & (back("week", 0, here) <= end)
+        return keep
+
+    first = F.greatest(F.lit(min_context + H), n - window)
+    picked = F.when(first < n, F.filter(F.sequence(first, F.greatest(n - 1, first)), evaluated))
+    points = series.select("*", F.explode(picked).alias("_at"))
+    names = {"idx": "t", "value": "target_value"}
+    columns = {names.get(c, c): back(c, 0) for c in base.columns if c != "series_id"}
+    columns |= {
         "last_value": back("value", H + 1),
-        "pool": F.collect_list("_d1").over(past),
-        "season_pool": F.collect_list("_ds").over(past),
-        "step_pools": F.array(*[F.collect_list(f"_d{h}").over(past) for h in hs]),
+        "pool": stretch("_d1", at - H, history),
+        "season_pool": stretch("_ds", at - H, history),
+        "step_pools": F.array(*[stretch(f"_d{h}", at - H, history) for h in hs]),
         "season_base": F.array(*[back("value", H - h + 1 + fv.SEASON_WEEKS) for h in hs]),
         "actuals": F.array(*[back("value", s) for s in scored_at]),
         "actual_weeks": F.array(*[back("week", s) for s in scored_at]),
         "window_actuals": F.array(*[back("value", H - h + 1) for h in hs]),
-        "cutoff": F.col("idx") - H,
+        "cutoff": back("idx", 0) - H,
     }
-    if "phase" in weekly.columns:
+    if "phase" in base.columns:
         columns["phases"] = F.array(*[back("phase", s) for s in scored_at])
-    out = base.withColumns(columns)
-    keep = (
-        (F.col("idx") >= F.greatest(F.lit(min_context + H), F.col("_n") - window))
-        & F.col("value").isNotNull()
-        & F.col("last_value").isNotNull()
-    )
-    if threshold:
-        keep = keep & (F.col("value") >= F.col("threshold"))
-    if start is not None:
-        keep = keep & (F.col("week") >= start)
-    if end is not None:
-        keep = keep & (F.col("week") <= end)
-    drop = ["_n", "_ds", *[f"_d{h}" for h in hs]]
-    return out.filter(keep).withColumnRenamed("idx", "t").withColumnRenamed("value", "target_value").drop(*drop)
+    return points.select("series_id", *[c.alias(name) for name, c in columns.items()])
 
 
 # --- forecasters --------------------------------------------------------------------------

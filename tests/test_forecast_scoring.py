@@ -129,6 +129,30 @@ def test_rolling_points(weekly_of):
     assert aligned[39].actuals == [36.0, 37.0, 38.0, 39.0]
 
 
+def test_pools_of_whole_histories(weekly_of):
+    rng = np.random.default_rng(11)
+    v = [None if rng.random() < 0.1 else float(x) for x in rng.integers(0, 90, 520)]
+    short = [1.0, 2.0, 3.0]
+    weekly = weekly_of(a=v, b=short)
+
+    def plain(at, lag, history):
+        first = 0 if history is None else max(0, at - history)
+        return [v[i] - v[i - lag] for i in range(first, at) if i >= lag and v[i] is not None and v[i - lag] is not None]
+
+    for history in (None, 104, 7):
+        rows = fc.rolling_points(weekly, history=history, threshold=False).collect()
+        assert {r.t for r in rows} == {t for t in range(520 - 52, 520) if v[t] is not None and v[t - 5] is not None}
+        for r in rows:
+            assert (r.series_id, r.target_value, r.last_value) == ("a", v[r.t], v[r.t - 5])
+            assert r.pool == plain(r.cutoff, 1, history) and r.season_pool == plain(r.cutoff, 52, history)
+            assert r.step_pools == [plain(r.cutoff, h, history) for h in (1, 2, 3, 4)]
+        pools = {r.cutoff: r.pool for r in fc.diff_pool(weekly, history).filter("series_id = 'a'").collect()}
+        wanted = {t + 1: plain(t + 1, 1, history) for t in range(520) if v[t] is not None}
+        assert pools == {c: p + [-d for d in p] for c, p in wanted.items() if len(p) >= 4}
+    plan = fc.rolling_points(weekly, history=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in "".join(x for x in plan.splitlines() if "Window" in x)
+
+
 def test_random_walk_is_partition_free_and_close_to_sampling(weekly_of):
     rng = np.random.default_rng(3)
     v = [float(x) for x in 50 + np.cumsum(rng.integers(-4, 5, 80))]
