@@ -3,13 +3,14 @@
 Base kinds are found by pattern (``assign``, ``access``, ``hex``). The method adds spans that it
 reports only after it has decoded a candidate and parsed what is inside:
 
-* ``der``: base64 or hex text that decodes to one DER SEQUENCE whose nested lengths fill their parents
+* ``der``: base64 (either alphabet) or hex text that decodes to one DER SEQUENCE whose nested lengths fill their parents
   exactly, and which looks like a key: it has an INTEGER of 64 bits or more, or begins with a small version number and an
   OCTET STRING or a nested algorithm identifier;
-* ``ssh``: base64 text that decodes to length-prefixed strings that fill the text exactly, the first
+* ``ssh``: base64 (either alphabet) or hex text that decodes to length-prefixed strings that fill the text exactly, the first
   one naming a key type, or to the container of a private key;
 * ``token``: three dotted base64url parts, the first two decoding to JSON objects, the first with ``alg``;
-* ``pem``: a PRIVATE KEY armour whose body decodes to one of the above.
+* ``pem``: a PRIVATE KEY armour whose body decodes to one of the above, or, where header lines name a cipher and its
+  start value, to whole blocks of that cipher. Line ends may be written as ``\\n``, as in JSON.
 
 Positions are code points, ends exclusive. Added spans never remove base spans.
 
@@ -45,8 +46,11 @@ KINDS = ["assign", "access", "hex", "der", "pem", "ssh", "token"]
 KEY_TYPES = (b"ssh-", b"ecdsa-", b"sk-")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+URL_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_-])(?:M|AAAA|b3Bl)[A-Za-z0-9_-]{28,}={0,2}")
+ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{62,}|(?:0000|6[Ff]70)[0-9A-Fa-f]{60,})(?![0-9A-Fa-f])")
+CIPHER = re.compile(r"DEK-Info:[\x20\t]*([A-Z0-9-]+),([0-9A-Fa-f]{16,32})[\x20\t\r]*$", re.M)
+ESCAPED_END = re.compile(r"\\r\\n|\\n|\\r")
 
 #: What a text must have for a search to be worth while; a set of necessary conditions.
 HINTS = {
@@ -54,6 +58,7 @@ HINTS = {
     "access": r"AKIA[A-Z0-9]{14}",
     "hex": r"[0-9a-f]{16}",
     "candidate": r"[A-Za-z0-9+/]{32}",
+    "url": r"(?:M|AAAA|b3Bl)[A-Za-z0-9_-]{28}",
     "dotted": r"eyJ[A-Za-z0-9_-]+\.",
     "armour": r"PRIVATE KEY-----",
 }
@@ -129,8 +134,25 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
+def standard(text: str) -> str:
+    """Base64 letters of the URL alphabet as those of the standard one."""
+    return text.replace("-", "+").replace("_", "/")
+
+
+def is_armoured_key(body: str) -> bool:
+    """Whether the body of an armour is a key: its text without header lines, or whole blocks of the cipher they name."""
+    lines = [x.strip() for x in ESCAPED_END.sub("\n", body).split("\n")]
+    data = decoded("".join("".join(x.split()) for x in lines if ":" not in x))
+    if not data:
+        return False
+    cipher = CIPHER.search("\n".join(lines))
+    if cipher:
+        return len(data) >= 32 and len(data) % (len(cipher[2]) // 2) == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
 def json_part(text: str) -> dict | None:
-    data = decoded(text.replace("-", "+").replace("_", "/"))
+    data = decoded(standard(text))
     try:
         value = json.loads(data) if data else None
     except (ValueError, RecursionError):
@@ -145,24 +167,34 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start(), m.end()
 
 
+def key_kind(data: bytes | None) -> str | None:
+    """``der`` or ``ssh`` if the bytes are such a key."""
+    if data and data[0] == 0x30 and is_der_key(data):
+        return "der"
+    return "ssh" if data and data[0] in (0, 0x6F) and is_ssh_key(data) else None
+
+
 def confirmed_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in CANDIDATE.finditer(text):
-        data = decoded(m[0])
-        if data and data[0] == 0x30 and is_der_key(data):
-            yield "der", m.start(), m.end()
-        elif data and data[0] in (0, 0x6F) and is_ssh_key(data):
-            yield "ssh", m.start(), m.end()
+        kind = key_kind(decoded(m[0]))
+        if kind:
+            yield kind, m.start(), m.end()
+    for m in URL_CANDIDATE.finditer(text):
+        # without a letter of its own, text of this alphabet was a candidate above
+        kind = key_kind(decoded(standard(m[0]))) if "-" in m[0] or "_" in m[0] else None
+        if kind:
+            yield kind, m.start(), m.end()
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            yield "der", m.start(), m.end()
+        kind = key_kind(bytes.fromhex(m[0])) if len(m[0]) % 2 == 0 else None
+        if kind:
+            yield kind, m.start(), m.end()
     for m in DOTTED.finditer(text):
         head, body, _ = m[0].split(".", 2)
         header = json_part(head)
         if header is not None and "alg" in header and json_part(body) is not None:
             yield "token", m.start(), m.end()
     for m in ARMOUR.finditer(text):
-        data = decoded("".join(m[2].split()))
-        if data and (is_der_key(data) or is_ssh_key(data)):
+        if is_armoured_key(m[2]):
             yield "pem", m.start(), m.end()
 
 
@@ -183,7 +215,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in slices(batches, "text"):
             texts = filled(batch.column("text"))
-            plain, deep = hinted(texts, "assign", "access", "hex"), hinted(texts, "candidate", "dotted", "armour")
+            plain, deep = hinted(texts, "assign", "access", "hex"), hinted(texts, "candidate", "url", "dotted", "armour")
             base, every = [], []
             for i, text in enumerate(texts.to_pylist()):
                 own = in_order(base_spans(text)) if plain[i] else []

@@ -116,6 +116,26 @@ def test_structures_are_confirmed():
     assert ("pem", 0, len(armour)) in list(secrets.confirmed_spans(armour))
 
 
+def test_other_encodings_are_confirmed():
+    odd_key = der(0x30, der(2, b"\x00") + der(2, b"\xfb\xef\xbe\xff" * 40))
+    letters = base64.urlsafe_b64encode(odd_key).decode()
+    assert "-" in letters or "_" in letters
+    assert [(k, letters[a - 4 : b - 4]) for k, a, b in secrets.confirmed_spans(f"key {letters} end")] == [("der", letters)]
+    assert [k for k, _, _ in secrets.confirmed_spans(f"x {SSH.hex()} y")] == ["ssh"]
+
+    in_json = "-----BEGIN PRIVATE KEY-----\\n" + b64(KEY)[:40] + "\\n" + b64(KEY)[40:] + "\\n-----END PRIVATE KEY-----\\n"
+    assert ("pem", 0, in_json.index("-----\\n", 40) + 5) in list(secrets.confirmed_spans(in_json))
+
+    def locked(body, head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,000102030405060708090A0B0C0D0E0F\n\n"):
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{head}{b64(body)}\n-----END RSA PRIVATE KEY-----"
+
+    whole, part = locked(bytes(range(7, 55))), locked(bytes(range(7, 54)))
+    assert list(secrets.confirmed_spans(whole)) == [("pem", 0, len(whole))]
+    assert list(secrets.confirmed_spans(part)) == []  # no whole blocks
+    assert list(secrets.confirmed_spans(locked(bytes(range(7, 55)), "Comment: x-y\n\n"))) == []  # no cipher is named
+    assert list(secrets.confirmed_spans("M" + "-a_b" * 2000 + " " + "-----BEGIN PRIVATE KEY-----" * 2000)) == []
+
+
 def test_look_alikes_are_not():
     broken = KEY[:4] + bytes([KEY[4] ^ 0x41]) + KEY[5:]  # a length inside
     for data in (broken, KEY[:-1], KEY + b"\x00", bytes(100)):
