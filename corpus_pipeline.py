@@ -22,10 +22,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (3): one document of each group stays, and one row of each doc_id."""
+    """MinHash near-dedup (3): one document of each group stays. Of rows with equal doc_id and text, or with equal text
+    and no doc_id, one stays; a doc_id with several texts keeps each of them."""
     kept = minhash.near_duplicates(spark, docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
