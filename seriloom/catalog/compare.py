@@ -205,6 +205,23 @@ def target_week_shift(spark, d):
     return shifted(spark, d).select("model", "round", "h", "target_year", "target_week", "actual")
 
 
+@query(
+    "target_week_shift_iso",
+    sql(
+        f"""SELECT model, round, {B('h', 'h')}, {B('target_year', 'target_year')}, {B('target_week', 'target_week')}, {R('t.value', 'actual')} FROM (
+            SELECT *, isoyear(day) AS target_year, week(day) AS target_week FROM (
+                SELECT *, CAST(date_trunc('week', make_date(CAST(split_part(round, '_', 1) AS INT), 1, 4)) AS DATE)
+                    + CAST(7 * (CAST(split_part(round, '_', 2) AS INT) - 1 + h) AS INT) AS day FROM hub_q))
+        JOIN truth t ON t.year = target_year AND t.week = target_week""",
+        "hub_q",
+        "truth",
+    ),
+)
+def target_week_shift_iso(spark, d):
+    moved = cm.target_week_shift(cm.split_year_week(hub(spark, d), "round"), truth(spark, d), iso=True)
+    return moved.select("model", "round", "h", "target_year", "target_week", "actual")
+
+
 part(
     "hub_scores",
     f"""SELECT model, round, h, {wis_sql("actual", "q", fv.LEVELS_23, fv.INTERVALS_23)} AS wis,
@@ -403,20 +420,36 @@ part(
     "results",
     "h_results",
 )
+# hub models that play experiments
+RUNS = {"AUTOMOBILE": 1, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 5}
+part(
+    "hub_figures",
+    f"""SELECT * FROM (SELECT unnest({list(RUNS)}) AS model, unnest({list(RUNS.values())}) AS exp_id)
+    JOIN (SELECT model, avg(wis) / nullif(avg(bw), 0) AS hub_rwis, avg(cov50) AS hub_coverage_50, avg(cov90) AS hub_coverage_90,
+            {", ".join(f"sum(wis) FILTER (WHERE h = {h}) / nullif(sum(bw) FILTER (WHERE h = {h}), 0) AS hub_rwis_h{h}" for h in range(1, 5))} FROM vs_base GROUP BY 1) USING (model)
+    JOIN (SELECT model, 100 * avg(ape) AS hub_mape_pct, {", ".join(f"100 * avg(ape) FILTER (WHERE h = {h}) AS hub_mape_h{h}" for h in range(1, 5))} FROM hub_scores GROUP BY 1) USING (model)""",
+    "vs_base",
+    "hub_scores",
+)
+_HUB = ["hub_rwis", "hub_coverage_50", "hub_coverage_90", "hub_mape_pct"]
+_HUB_MAPS = {f"hub_{m}_h{h}": (f"hub_{m}_by_h", h) for m in ("rwis", "mape") for h in range(1, 5)}
 _MEANS = ["mean_relative_wis", "mean_wis", "mean_coverage_50", "mean_coverage_95", "mean_mae", "mean_mape_pct"]
 _HS = [f"mean_rwis_h{h}" for h in range(1, 5)]
 
 
 def rollup(spark, d):
-    return cm.experiment_rollup(cm.experiment_grid(spark), results(spark, d), horizon_results(spark, d))
+    runs = spark.createDataFrame(list(RUNS.items()), "model string, exp_id int")
+    figures = cm.hub_figures(hub_scores(spark, d), BASE, runs)
+    return cm.experiment_rollup(cm.experiment_grid(spark), results(spark, d), horizon_results(spark, d), hub=figures)
 
 
 @query(
     "experiment_rollup",
-    sql(f"SELECT {B('exp_id', 'exp_id')}, suffix, n_series, " + ", ".join(R(c, c) for c in _MEANS + _HS) + " FROM exp_rollup", "exp_rollup"),
+    sql(f"SELECT {B('exp_id', 'exp_id')}, suffix, n_series, " + ", ".join(R(c, c) for c in [*_MEANS, *_HS, *_HUB, *_HUB_MAPS]) + " FROM exp_rollup LEFT JOIN hub_figures USING (exp_id)", "exp_rollup", "hub_figures"),
 )
 def experiment_rollup(spark, d):
-    return rollup(spark, d).select("exp_id", "suffix", "n_series", *_MEANS, *_HS)
+    by_h = [F.try_element_at(m, F.lit(h)).alias(name) for name, (m, h) in _HUB_MAPS.items()]
+    return rollup(spark, d).select("exp_id", "suffix", "n_series", *_MEANS, *_HS, *_HUB, *by_h)
 
 
 @query(
@@ -449,8 +482,12 @@ def top_bottom_k(spark, d):
     sql(
         f"""(SELECT 'relative_wis' AS metric, {B("exp_id", "exp_id")}, suffix, {R("mean_relative_wis", "value")} FROM exp_rollup WHERE mean_relative_wis IS NOT NULL ORDER BY mean_relative_wis, exp_id LIMIT 1)
         UNION ALL (SELECT 'mape_pct', {B("exp_id", "exp_id")}, suffix, {R("mean_mape_pct", "value")} FROM exp_rollup WHERE mean_mape_pct IS NOT NULL ORDER BY mean_mape_pct, exp_id LIMIT 1)
-        UNION ALL (SELECT 'coverage_95', {B("exp_id", "exp_id")}, suffix, {R("mean_coverage_95", "value")} FROM exp_rollup WHERE mean_coverage_95 IS NOT NULL ORDER BY mean_coverage_95 DESC, exp_id LIMIT 1)""",
+        UNION ALL (SELECT 'coverage_95', {B("exp_id", "exp_id")}, suffix, {R("mean_coverage_95", "value")} FROM exp_rollup WHERE mean_coverage_95 IS NOT NULL ORDER BY mean_coverage_95 DESC, exp_id LIMIT 1)
+        UNION ALL (SELECT 'hub_rwis', {B("exp_id", "exp_id")}, suffix, {R("hub_rwis", "value")} FROM hub_figures JOIN grid USING (exp_id) WHERE hub_rwis IS NOT NULL ORDER BY hub_rwis, exp_id LIMIT 1)
+        UNION ALL (SELECT 'hub_mape_pct', {B("exp_id", "exp_id")}, suffix, {R("hub_mape_pct", "value")} FROM hub_figures JOIN grid USING (exp_id) WHERE hub_mape_pct IS NOT NULL ORDER BY hub_mape_pct, exp_id LIMIT 1)""",
         "exp_rollup",
+        "hub_figures",
+        "grid",
     ),
 )
 def best_config(spark, d):

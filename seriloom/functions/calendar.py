@@ -33,6 +33,12 @@ def wrap_week(week: Column) -> Column:
     return ((week - 1) % 52) + 1
 
 
+def add_weeks_iso(year: Column, week: Column, h: Column) -> tuple[Column, Column]:
+    """(year, week) moved forward by ``h`` ISO weeks, so years of 53 weeks have their last one."""
+    monday = F.date_add(iso_monday(year, week), (h * 7).cast("int"))
+    return F.extract(F.lit("YEAROFWEEK"), monday).cast("int"), F.weekofyear(monday)
+
+
 def add_weeks_52(year: Column, week: Column, h: Column) -> tuple[Column, Column]:
     """(year, week) moved forward by ``h`` weeks in a 52-week calendar."""
     total = week + h

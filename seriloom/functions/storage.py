@@ -45,6 +45,13 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finished_folders(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Names of the folders of ``root`` that match ``pattern`` and hold a table whose write was completed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pattern}/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [status.getPath().getParent().getName() for status in found]
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the application's part of the shared folder."""
     return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"

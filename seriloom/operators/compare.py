@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriloom.functions import fixed_values as fv
-from seriloom.functions.calendar import add_weeks_52, iso_monday
+from seriloom.functions.calendar import add_weeks_52, add_weeks_iso, iso_monday
 from seriloom.functions.cells import levels_of
 from seriloom.functions.scores import at_level, covered, weighted_interval_score
 
@@ -139,9 +139,10 @@ def hub_quantiles(
     )
 
 
-def target_week_shift(rounds: DataFrame, truth: DataFrame) -> DataFrame:
-    """Adds target_year, target_week (52-week calendar) and the actual; rows without one go."""
-    year, week = add_weeks_52(F.col("year"), F.col("week"), F.col("h"))
+def target_week_shift(rounds: DataFrame, truth: DataFrame, iso: bool = False) -> DataFrame:
+    """Adds target_year, target_week and the actual; rows without one go. Weeks are those of a 52-week calendar, or with
+    ``iso`` exact ISO weeks, where week 53 of a long year is a target and is followed by week 1."""
+    year, week = (add_weeks_iso if iso else add_weeks_52)(F.col("year"), F.col("week"), F.col("h"))
     t = truth.select(F.col("year").alias("target_year"), F.col("week").alias("target_week"), F.col("value").alias("actual"))
     return (
         rounds.withColumns({"target_year": year, "target_week": week})
@@ -345,12 +346,55 @@ def experiment_grid(spark: SparkSession, covariates: list[str] | None = None) ->
 METRICS = ["relative_wis", "wis", "coverage_50", "coverage_95", "mae", "mape_pct"]
 
 
+def hub_figures(scores: DataFrame, baseline: str, runs: DataFrame) -> DataFrame:
+    """(exp_id, hub_rwis, hub_coverage_50, hub_coverage_90, hub_mape_pct, hub_rwis_by_h, hub_mape_by_h) of the hub models that
+    are experiments, by ``runs(model, exp_id)``.
+
+    Ratio and coverage are those on the baseline's keys, errors those of all keys. Sums by horizon are the entries of the maps, and
+    their totals the overall figures, so scores are grouped once.
+    """
+    base = scores.filter(F.col("model") == baseline).select("round", "h", F.col("wis").alias("base"))
+    mine = scores.join(runs, "model").join(base, ["round", "h"], "left")
+    common = F.col("base").isNotNull()
+    sums = {
+        "wis": F.sum(F.when(common, F.col("wis"))),
+        "base": F.sum("base"),
+        "n": F.sum(common.cast("bigint")),
+        "cov50": F.sum(F.when(common, F.col("cov50"))),
+        "cov90": F.sum(F.when(common, F.col("cov90"))),
+        "ape": F.sum("ape"),
+        "n_ape": F.count("ape"),
+    }
+    by_h = mine.groupBy("exp_id", "h").agg(*[c.alias(name) for name, c in sums.items()])
+
+    def over(a: str, b: str, total: bool = False, scale: int = 1) -> Column:
+        x, y = (F.sum(a), F.sum(b)) if total else (F.col(a), F.col(b))
+        return scale * x / F.nullif(y, F.lit(0))
+
+    def by_horizon(value: Column) -> Column:
+        entries = F.collect_list(F.when(value.isNotNull(), F.struct("h", value.alias("v"))))
+        return F.map_from_entries(F.sort_array(entries))
+
+    return by_h.groupBy("exp_id").agg(
+        over("wis", "base", True).alias("hub_rwis"),
+        over("cov50", "n", True).alias("hub_coverage_50"),
+        over("cov90", "n", True).alias("hub_coverage_90"),
+        over("ape", "n_ape", True, 100).alias("hub_mape_pct"),
+        by_horizon(over("wis", "base")).alias("hub_rwis_by_h"),
+        by_horizon(over("ape", "n_ape", scale=100)).alias("hub_mape_by_h"),
+    )
+
+
 def experiment_rollup(
-    grid: DataFrame, results: DataFrame, horizon_results: DataFrame | None = None, horizons: int = fv.HORIZON
+    grid: DataFrame,
+    results: DataFrame,
+    horizon_results: DataFrame | None = None,
+    horizons: int = fv.HORIZON,
+    hub: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of each metric over series per experiment; experiments without results keep a row.
 
-    ``results`` is (exp_id, series_id, metrics...), ``horizon_results`` (exp_id, series_id, h, rwis).
+    ``results`` is (exp_id, series_id, metrics...), ``horizon_results`` (exp_id, series_id, h, rwis), ``hub`` the figures of ``hub_figures``.
     """
     g = results.groupBy("exp_id").agg(
         *[F.avg(m).alias(f"mean_{m}") for m in METRICS if m in results.columns], F.count("*").alias("n_series")
@@ -361,7 +405,7 @@ def experiment_rollup(
             *[F.avg(F.when(F.col("h") == i, F.col("rwis"))).alias(f"mean_rwis_h{i}") for i in range(1, horizons + 1)]
         )
         out = out.join(h, "exp_id", "left")
-    return out
+    return out if hub is None else out.join(hub, "exp_id", "left")
 
 
 def experiment_matrix(results: DataFrame, exp_ids: list[int], metric: str = "relative_wis") -> DataFrame:
@@ -392,8 +436,10 @@ def top_bottom_k(results: DataFrame, k: int = 5, metric: str = "relative_wis") -
 
 
 def best_config(rollup: DataFrame) -> DataFrame:
-    """Best experiment per metric: lowest, except the highest for coverage."""
-    wanted = [("relative_wis", False), ("mape_pct", False), ("coverage_95", True)]
+    """Best experiment per metric: lowest, except the highest for coverage. Hub metrics need a rollup with hub figures."""
+    wanted = [("relative_wis", False), ("mape_pct", False), ("hub_rwis", False), ("hub_mape_pct", False), ("coverage_95", True)]
+    wanted = [(m, m if m.startswith("hub_") else f"mean_{m}", top) for m, top in wanted]
+    wanted = [w for w in wanted if w[1] in rollup.columns]
     rows = rollup.select(
         "exp_id",
         "suffix",
@@ -402,10 +448,10 @@ def best_config(rollup: DataFrame) -> DataFrame:
                 *[
                     F.struct(
                         F.lit(m).alias("metric"),
-                        F.col(f"mean_{m}").alias("value"),
-                        (-F.col(f"mean_{m}") if top else F.col(f"mean_{m}")).alias("cost"),
+                        F.col(c).alias("value"),
+                        (-F.col(c) if top else F.col(c)).alias("cost"),
                     )
-                    for m, top in wanted
+                    for m, c, top in wanted
                 ]
             )
         ).alias("e"),

@@ -39,24 +39,30 @@ def read_feed(spark: SparkSession, path: str, required: list[str] | None = None)
 
 
 def split_malformed(
-    spark: SparkSession, path: str, columns: list[str] | None = None
+    spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of a feed. A line is bad when it has more cells than the header.
+    """(good, bad) records of a feed. A record is bad when it has more cells than the header.
 
-    Short lines are kept and padded with NULL, which is what a lenient CSV reader does, so a
-    corrupt-record flag alone would not do: lines are read as text, cells are counted outside
-    quotes, and the good ones are parsed. Pass ``columns`` for files without a header line.
+    The reader cuts records, so a quoted cell may hold line breaks; it is given one column, and every record with other than
+    one cell comes back whole as a corrupt one. Short records are kept and padded with NULL, which is what a lenient CSV reader
+    does, so cells are counted outside quotes, and the good ones are parsed. Pass ``columns`` for files without a header line.
+    Whole files are read by one task each; ``multiline=False`` splits them where no cell holds a line break.
     """
-    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
-    if columns is None:
-        columns = _header(spark, path)
-        lines = lines.filter(F.replace("value", F.lit('"'), F.lit("")) != ",".join(columns))
+    head = columns is None
+    columns = columns or _header(spark, path)
+    raw = (
+        spark.read.schema("only string, record string")
+        .options(header=head, comment="#", multiLine=multiline, columnNameOfCorruptRecord="record", enforceSchema=True)
+        .csv(path)
+    )
+    records = raw.select(F.coalesce("record", "only").alias("value"))
     bare = F.regexp_replace("value", r'"[^"]*"', "")
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    too_long = cells > len(columns)
-    parsed = F.from_csv("value", _text_schema(columns).simpleString()[7:-1].replace(":", " "))
-    good = lines.filter(~too_long).select(parsed.alias("r")).select("r.*")
-    return good, lines.filter(too_long).select(F.col("value").alias("line"))
+    too_long = F.coalesce(cells > len(columns), F.lit(False))
+    options = {"multiLine": str(multiline).lower()}
+    parsed = F.from_csv("value", _text_schema(columns).simpleString()[7:-1].replace(":", " "), options)
+    good = records.filter(~too_long).select(parsed.alias("r")).select("r.*")
+    return good, records.filter(too_long).select(F.col("value").alias("line"))
 
 
 def malformed_report(good: DataFrame, bad: DataFrame, limit: float = fv.MAX_MALFORMED_SHARE) -> DataFrame:

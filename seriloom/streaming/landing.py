@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seriloom.functions import fixed_values as fv
-from seriloom.functions.storage import fresh_path
+from seriloom.functions.storage import finished_folders, fresh_path
 from seriloom.plans.refresh import Published, REFUSE, publish, verdict
 from seriloom.sources.feed import to_observations
 
@@ -70,13 +69,8 @@ def _keep(batch: DataFrame) -> DataFrame:
 
 
 def _last_version(spark: SparkSession, store: str, before: int) -> DataFrame | None:
-    """Newest accepted version older than ``before``, or None."""
-    try:
-        all_pulls = spark.read.parquet(store)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return None
-        raise
-    earlier = all_pulls.filter(F.col("pull").cast("bigint") < before)
-    newest = earlier.agg(F.max(F.col("pull").cast("bigint")).alias("p")).first()["p"]
-    return None if newest is None else earlier.filter(F.col("pull").cast("bigint") == newest).drop("pull")
+    """Newest accepted version older than ``before``, or None. Versions are found by the folders whose write was completed, so
+    no earlier pull is read, and the half-written one of a lost attempt does not count."""
+    numbers = [int(name.removeprefix("pull=")) for name in finished_folders(spark, store, "pull=*")]
+    newest = max((n for n in numbers if n < before), default=None)
+    return None if newest is None else spark.read.parquet(f"{store}/pull={newest:09d}")

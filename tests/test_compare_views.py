@@ -237,3 +237,26 @@ def test_list_is_sorted_by_lower_name(spark):
     listing = vw.country_list(pts, details, spark.createDataFrame([("x",)], "series_id string"))
     assert [(r.name, r.since, r.on_map) for r in listing.collect()] == [("Alpha", None, False), ("beta", d, True)]
     assert tuple(vw.list_totals(listing).first()) == (2, 1)
+
+
+def test_iso_weeks_reach_week_53(spark):
+    rounds = spark.createDataFrame([(2020, 52, 1), (2020, 52, 2), (2020, 53, 1), (2021, 52, 1)], "year int, week int, h int")
+    truth = spark.createDataFrame([(2020, 53, 1.0), (2021, 1, 2.0), (2022, 1, 3.0)], "year int, week int, value double")
+    got = sorted((r.year, r.week, r.h, r.target_year, r.target_week, r.actual) for r in cm.target_week_shift(rounds, truth, iso=True).collect())
+    assert got == [(2020, 52, 1, 2020, 53, 1.0), (2020, 52, 2, 2021, 1, 2.0), (2020, 53, 1, 2021, 1, 2.0), (2021, 52, 1, 2022, 1, 3.0)]
+
+
+def test_hub_figures_of_experiments(spark):
+    rows = [
+        ("base", "r1", 1, 2.0, 0.5, 1, 1),
+        ("base", "r1", 2, 4.0, 0.5, 1, 1),
+        ("mine", "r1", 1, 1.0, 0.1, 1, 1),
+        ("mine", "r1", 2, 6.0, 0.2, 0, 1),
+        ("mine", "r2", 1, 9.0, 0.6, 0, 0),  # the baseline has no such key
+    ]
+    scores = spark.createDataFrame(rows, "model string, round string, h int, wis double, ape double, cov50 int, cov90 int")
+    runs = spark.createDataFrame([("mine", 4)], "model string, exp_id int")
+    r = cm.hub_figures(scores, "base", runs).first()
+    assert (r.exp_id, r.hub_coverage_50, r.hub_coverage_90) == (4, 0.5, 1.0)
+    assert r.hub_rwis == pytest.approx(7 / 6) and r.hub_mape_pct == pytest.approx(30.0)
+    assert r.hub_rwis_by_h == pytest.approx({1: 0.5, 2: 1.5}) and r.hub_mape_by_h == pytest.approx({1: 35.0, 2: 20.0})

@@ -125,3 +125,69 @@ def test_shared_folder_is_taken_from_the_session(spark):
     assert shared_folder(spark) == shared_folder(spark)  # unset here: one folder of our own
     kept = cut_lineage(spark.range(3))
     assert kept.count() == 3 and kept.inputFiles()[0].removeprefix("file://").startswith(shared_folder(spark))
+
+
+def test_rounds_by_header(spark, tmp_path):
+    for model, rnd, lines in (
+        ("m 1", "2024_01", ["luogo,tipo_valore,orizzonte,target,id_valore,valore", 'IT,"quantile",1,"ILI, all",0.5,"3.25"', "IT,quantile,2,,0.5,4"]),
+        ("m2", "2024_01", ['"valore","note","id_valore","luogo","tipo_valore","orizzonte"', '4.5,"a, ""b""",0.5,IT,quantile,2', ""]),
+        ("m2", "2024_02", ["luogo,tipo_valore,orizzonte,id_valore,valore", "IT,quantile,3,0.5,x"]),
+        ("m3", "2024_01", ["no header here,1,2"]),
+    ):
+        (tmp_path / f"model={model}" / f"round={rnd}").mkdir(parents=True)
+        write(tmp_path / f"model={model}" / f"round={rnd}" / "x.csv", *lines)
+    rows = sf.read_rounds(spark, str(tmp_path))
+    got = sorted((r.model, r["round"], r.orizzonte, r.target, r.id_valore, r.valore) for r in rows.collect())
+    assert got == [
+        ("m 1", "2024_01", 1, "ILI, all", 0.5, 3.25),
+        ("m 1", "2024_01", 2, "", 0.5, 4.0),
+        ("m2", "2024_01", 2, None, 0.5, 4.5),
+        ("m2", "2024_02", 3, None, 0.5, None),
+    ]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "none" / "model=a" / "round=b").mkdir(parents=True)
+    write(tmp_path / "none" / "model=a" / "round=b" / "x.csv", "nothing")
+    assert sf.read_rounds(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_records_with_line_breaks(spark, tmp_path):
+    path = write(
+        tmp_path / "f.csv",
+        "# pulled today",
+        HEAD,
+        'AA,"Aland\nand isles",2024-01-01,ALL,5,6',
+        'AA,"Aland\nand, isles",2024-01-08,ALL,5,6,7',
+        "AA,Aland,2024-01-15",
+        "alone",
+    )
+    good, bad = fd.split_malformed(spark, path)
+    rows = [(r.COUNTRY_CODE, r.COUNTRY_AREA_TERRITORY, r.ARI_CASE) for r in good.collect()]
+    assert sorted(rows, key=str) == sorted([("AA", "Aland\nand isles", "6"), ("AA", "Aland", None), ("alone", None, None)], key=str)
+    assert [r.line for r in bad.collect()] == ['AA,"Aland\nand, isles",2024-01-08,ALL,5,6,7']
+    plain = write(tmp_path / "g.csv", HEAD, "AA,Aland,2024-01-01,ALL,5,6", "AA,Aland,2024-01-08,ALL,5,6,7")
+    good, bad = fd.split_malformed(spark, plain, multiline=False)
+    assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_series_in_buckets(spark, tmp_path):
+    rows = [(f" name, {i}", date(2024, 1, 1), float(i), 0) for i in range(500)] + [(None, date(2024, 1, 1), 1.0, 1)]
+    df = spark.createDataFrame(rows, "series_id string, obs_date date, cases double, data_type int")
+    sf.write_series(df, str(tmp_path / "s"), buckets=8)
+    assert len(list((tmp_path / "s").glob("bucket=*"))) <= 8
+    back = sf.read_series(spark, str(tmp_path / "s"), buckets=8)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    wanted = spark.createDataFrame([(" name, 7",), (" name, 7",), ("unknown",)], "series_id string")
+    some = sf.read_series(spark, str(tmp_path / "s"), wanted, buckets=8)
+    assert [tuple(r) for r in some.collect()] == [rows[7]]
+
+
+def test_finished_versions(spark, tmp_path):
+    from seriloom.streaming.landing import _last_version
+
+    store = str(tmp_path / "store")
+    assert _last_version(spark, store, 5) is None
+    for n in (1, 3, 5):
+        spark.range(n).write.parquet(f"{store}/pull={n:09d}")
+    (tmp_path / "store" / "pull=000000003" / "_SUCCESS").unlink()  # an attempt that was lost half-way
+    assert _last_version(spark, store, 5).count() == 1  # the retried batch 5 does not see itself
+    assert _last_version(spark, store, 6).count() == 5
