@@ -48,7 +48,7 @@ BANDS, ROWS = 48, 5
 STAR_ROUNDS = 3
 COORDINATES = 1024
 MARGIN = 4.5
-SKETCHED_AT_ONCE = 2048
+SKETCHED_AT_ONCE, SKETCHED_BYTES = 1024, 4 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         raise ValueError("bands need more coordinates than a sketch has")
 
     def sign(batches):
-        for batch in slices(batches, "text", rows=SKETCHED_AT_ONCE):
+        for batch in slices(batches, "text", SKETCHED_BYTES, SKETCHED_AT_ONCE):
             starts, elements = shingle_sets(batch.column("text"))
             sizes = np.diff(starts)
             sketch = sketches(starts, elements, COORDINATES)
@@ -166,7 +166,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     """Those of the distinct ``pairs(a, b)`` whose full sets are similar enough."""
 
     def confirm(batches):
-        for batch in slices(batches, "text_b", 4 << 20):
+        for batch in slices(batches, "text_b", SKETCHED_BYTES):
             left = batch.column("text_a").dictionary_encode()
             starts_a, sets_a = shingle_sets(left.dictionary)
             starts_b, sets_b = shingle_sets(batch.column("text_b"))

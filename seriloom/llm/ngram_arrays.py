@@ -8,7 +8,7 @@ are shifts and masks of it, and a sorted array of numbers with an array of count
 Halves. Each language has two models, of the documents of either half (by a hash of doc_id and text), and a document is scored by the model of
 the half it is not in. Else a long odd text would explain itself.
 
-Steps. Documents are packed into packets of about ``PACKET_BYTES``. A packet counts its distinct n-grams and sends them as sorted arrays, one for
+Steps. Rows are numbered in packets of about ``PACKET_BYTES``. A packet counts its distinct n-grams and sends them as sorted arrays, one for
 each language, half and bucket; a bucket is a hash of the fourth letter, which an n-gram shares with all its contexts and endings of two or
 more letters, so all orders but the first are local to a bucket.
 
@@ -23,22 +23,25 @@ What moves is packets x buckets arrays of a few bytes an n-gram; nothing is gath
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriloom.functions.storage import cut_lineage
-from seriloom.llm.batches import filled, give_back, mixed
-from seriloom.llm.kneser_ney import discounts_of, packed, unpacked
+from seriloom.llm.batches import filled, give_back, mixed, slices
+from seriloom.llm.kneser_ney import discounts_of, unpacked
 
 ORDER = 5
 LETTER_BITS = 12
 PLAIN = 2048  # code points below are their own class
 BUCKETS = 64
+PACKET_BYTES = 24 << 20
+COUNTED_BYTES = 1 << 20
 FAN_IN = 16
 ASKED_AT_ONCE = 32
 START, END, SPACE = 10, 13, 32  # white space is in no word
@@ -109,26 +112,66 @@ def groups_of(batch: pa.RecordBatch) -> list[tuple[str, int]]:
     return list(zip(batch.column("model_lang").to_pylist(), batch.column("half").to_pylist()))
 
 
-def distinct_grams(batches: list[pa.RecordBatch]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    """{(language, half): (n-grams by bucket, then ascending; their counts)} of a packet's slices."""
-    parts: dict[tuple[str, int], list] = {}
-    for batch in batches:
+def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(packet, slice): the same for every reading of a stored table."""
+    first, size = TaskContext.get().partitionId() << 32, 0
+    for batch in slices(batches, "text", COUNTED_BYTES):
+        yield first + size // PACKET_BYTES, batch
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(packet, slice): the rows of ``docs``, which have a column text, as compressed Arrow streams."""
+
+    def pack(batches):
+        for packet, batch in numbered(batches):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([packet]), pa.array([out.getvalue().to_pybytes()])], ["packet", "slice"])
+
+    return docs.mapInArrow(pack, "packet long, slice binary")
+
+
+class Tally:
+    """Distinct n-grams and counts by (language, half). Pieces are summed whenever they outgrow what was summed before, so
+    memory stays near twice the distinct n-grams, whatever the number of slices."""
+
+    def __init__(self):
+        self.parts: dict[tuple[str, int], list] = {}
+        self.waiting: dict[tuple[str, int], int] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
         sizes, grams = events_of(batch.column("text"))
         keys = groups_of(batch)
         names = sorted(set(keys))
         index = {k: i for i, k in enumerate(names)}
-        owner = np.repeat(np.array([index[k] for k in keys], np.int64), sizes)
+        owner = np.repeat(np.array([index[k] for k in keys], np.int8 if len(names) < 128 else np.int32), sizes)
         for k, i in index.items():
             found, counts = np.unique(grams[owner == i], return_counts=True)
             if len(found):
-                parts.setdefault(k, []).append((found, counts))
-        give_back()
-    out = {}
-    for k, pieces in parts.items():
-        grams, counts = summed(pieces)
-        order = np.argsort(bucket_of(grams), kind="stable")
-        out[k] = grams[order], counts[order]
-    return out
+                pieces = self.parts.setdefault(k, [])
+                pieces.append((found, counts))
+                self.waiting[k] = self.waiting.get(k, 0) + len(found)
+                if self.waiting[k] > len(pieces[0][0]):
+                    self.parts[k], self.waiting[k] = [summed(pieces)], 0
+
+    def by_bucket(self) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+        """{(language, half): (n-grams by bucket, then ascending; their counts)}."""
+        out = {}
+        for k, pieces in self.parts.items():
+            grams, counts = summed(pieces)
+            order = np.argsort(bucket_of(grams), kind="stable")
+            out[k] = grams[order], counts[order]
+        return out
+
+
+def distinct_grams(batches: list[pa.RecordBatch]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Those of a packet's slices."""
+    tally = Tally()
+    for batch in batches:
+        tally.add(batch)
+    return tally.by_bucket()
 
 
 def summed(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,37 +184,35 @@ def summed(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 ARRAYS = "model_lang string, half int, bucket int, grams binary, counts binary"
 
 
-def asked_of(pieces: DataFrame) -> DataFrame:
+def asked_of(docs: DataFrame) -> DataFrame:
     """(packet, model_lang, half, bucket, grams, counts): the distinct n-grams of every packet."""
     names = ["packet", "model_lang", "half", "bucket", "grams", "counts"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-    def emit(packet, batches):
-        rows = []
-        for (lang, half), (grams, counts) in distinct_grams(batches).items():
+    def emit(packet, tally):
+        for (lang, half), (grams, counts) in tally.by_bucket().items():
             bucket = bucket_of(grams)
             edges = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+            rows = []
             for b in np.flatnonzero(np.diff(edges)):
                 a, z = edges[b], edges[b + 1]
                 rows.append((packet, lang, half, int(b), shut_ascending(grams[a:z]), shut(counts[a:z].astype(np.int64))))
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def count(batches):
-        held, packet = [], None
-        for batch in batches:
-            for number, piece in zip(batch.column("packet").to_pylist(), batch.column("slice")):
-                if held and number != packet:
-                    yield from emit(packet, held)
-                    held = []
-                packet = number
-                held.append(unpacked(piece))
-        if held:
-            yield from emit(packet, held)
-        held = []
+        tally, packet = Tally(), None
+        for number, batch in numbered(batches):
+            if number != packet:
+                yield from emit(packet, tally)
+                tally, packet = Tally(), number
+                give_back()
+            tally.add(batch)
+        yield from emit(packet, tally)
+        tally = None
         give_back()
 
-    return pieces.mapInArrow(count, f"packet long, {ARRAYS}")
+    return docs.mapInArrow(count, f"packet long, {ARRAYS}")
 
 
 def merged(asked: DataFrame, packets: int) -> DataFrame:
@@ -296,8 +337,7 @@ def half_of(doc_id: Column, text: Column) -> Column:
 def scored(docs: DataFrame, compute: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """``compute(rows, events of each text, log-probability of each text)`` over slices of ``docs``, which has the columns text, model_lang
     (not null) and half and must be read alike each time."""
-    pieces = packed(docs)
-    asked = cut_lineage(asked_of(pieces))
+    asked = cut_lineage(asked_of(docs))
     packets = asked.select(F.approx_count_distinct("packet")).first()[0]
     buckets = merged(asked, packets)
     every = parameters(buckets).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
@@ -336,4 +376,4 @@ def scored(docs: DataFrame, compute: Callable[[pa.RecordBatch, np.ndarray, np.nd
             give_back()
         return pa.Table.from_batches(out) if out else empty
 
-    return pieces.groupBy("packet").cogroup(found.groupBy("packet")).applyInArrow(meet, schema)
+    return packed(docs).groupBy("packet").cogroup(found.groupBy("packet")).applyInArrow(meet, schema)
